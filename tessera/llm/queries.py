@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, langid, minhash, packing, quality, substring, urls
+from tessera.llm import chat, decontam, embed, html, langid, minhash, packing, quality, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_pack, op6_language, op9_near_duplicates, op10_quality)}
+    return {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_pack, op6_language, op7_embedding_dedup, op8_html_text, op9_near_duplicates, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
