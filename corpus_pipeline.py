@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, quality
+from tessera.llm import decontam, minhash, packing, quality, substring
 from tessera.session import materialise
 
 
@@ -14,6 +14,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of documents whose five-word shingles are alike to 0.8 or more, one stays."""
+    return minhash.drop_near_duplicates(docs, shingle=5)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: words of passages of 50 words or more that stand in an earlier document go."""
+    return substring.drop_repeats(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: contaminated documents go, single benchmark passages are cut out of the others."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -24,7 +34,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", good_quality), ("decontamination", without_benchmark), ("packing", packed)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_duplicates),
+    ("substrings", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 #: Training and tokenizing are not SQL.
 ORACLE_SQL = None
