@@ -1,6 +1,645 @@
-"""Registered queries of the blocking engine and their SQL."""
+"""Registered queries of the blocking engine over the party fixture, each with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import strings
+from tessera.operators import clustering, hlsh, metrics, multiparty, psig
+from tessera.operators import sorted_neighbourhood as sn
+from tessera.operators.blocks import candidate_pairs, frequency_filter, linked_pairs, shared_blocks
+from tessera.plans import fixture_sql as S
+from tessera.sources import parties, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+LOW, HIGH = 1, 60
+N_REFS, K = 30, 10
+BITS, LENGTH, HASHES = 12, 97, 5
+LAYOUT = hlsh.Layout.make((61, 67), (60, 40), 10, 6, 42)
+FOLD = hlsh.LambdaFoldLsh(("a1", "a2"), folds=4, bits=8, length=LENGTH, hashes=3)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def with_(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+def _keys(party: DataFrame) -> DataFrame:
+    return party.select("rec_id", parties.key_of(["a1", "a2"]).alias("key"))
+
+
+def _refs(spark: SparkSession, sf_dir: str, n: int = N_REFS) -> DataFrame:
+    return parties.hashed_values(parties.reference_keys(spark, sf_dir), n)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    a, b = parties.two_parties(spark, sf_dir)
+    method = psig.PSignature(S.SIGNATURES, LOW, HIGH)
+    return a, b, method.index(a), method.index(b)
+
+
+# ---------------------------------------------------------------- scans and scalar functions
+
+
+@query(with_(S.PARTIES) + "SELECT 'alice' AS party, rec_id, ent_id, a1, a2, a3, a4 FROM alice UNION ALL SELECT 'bob', rec_id, ent_id, a1, a2, a3, a4 FROM bob")
+def party_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    return a.withColumn("party", F.lit("alice")).unionByName(b.withColumn("party", F.lit("bob")))
+
+
+@query(with_(S.PARTIES) + f"SELECT rec_id, i AS at, q[i] AS gram FROM (SELECT rec_id, {S.grams('a1')} AS q FROM alice), unnest(range(1, len(q) + 1)) AS t(i)")
+def qgram_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = parties.two_parties(spark, sf_dir)
+    return a.select("rec_id", F.posexplode(strings.qgrams(F.col("a1"))).alias("at", "gram")).withColumn("at", (F.col("at") + 1).cast("long"))
+
+
+_SAME = with_(S.PARTIES, "same AS (SELECT a.rec_id, a.key AS x, b.key AS y, a.a1 AS x1, b.a1 AS y1 FROM alice a JOIN bob b ON a.a2 = b.a2 AND a.a3 = b.a3)")
+
+
+def _same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    a, b = a.withColumn("x", parties.key_of(["a1", "a2"])), b.withColumn("y", parties.key_of(["a1", "a2"]))
+    return a.join(b.select("y", "a2", "a3", F.col("a1").alias("y1")), ["a2", "a3"]).select("rec_id", "x", "y", F.col("a1").alias("x1"), "y1")
+
+
+@query(_SAME + f"SELECT rec_id, x, y, round({S.dice('x', 'y')}, 6) AS sim FROM same")
+def dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same(spark, sf_dir).select("rec_id", "x", "y", F.round(strings.dice(F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+@query(_SAME + f"SELECT rec_id, x1, y1, round({S.edit('x1', 'y1')}, 6) AS sim FROM same")
+def editdist_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same(spark, sf_dir).select("rec_id", "x1", "y1", F.round(strings.edit_similarity(F.col("x1"), F.col("y1")), 6).alias("sim"))
+
+
+@query(
+    _SAME
+    + """SELECT rec_id, x1, y1, round(CASE WHEN x1 = '' OR y1 = '' THEN 0.0 WHEN x1 = y1 THEN 1.0
+       WHEN 1.0::DOUBLE - abs(length(x1) - length(y1))::DOUBLE / m < 0.7 THEN 0.0 WHEN levenshtein(x1, y1) > (1.0::DOUBLE - 0.7::DOUBLE) * m THEN 1.0::DOUBLE - ((1.0::DOUBLE - 0.7::DOUBLE) * m + 1) / m
+       ELSE 1.0::DOUBLE - levenshtein(x1, y1)::DOUBLE / m END, 6) AS sim FROM (SELECT *, greatest(length(x1), length(y1)) AS m FROM same)"""
+)
+def editdist_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _same(spark, sf_dir).select("rec_id", "x1", "y1", F.round(strings.edit_similarity_at_least(F.col("x1"), F.col("y1"), 0.7), 6).alias("sim"))
+
+
+@query(with_(S.PARTIES) + f"SELECT a1, unnest({S.filter_bits('a1', HASHES, LENGTH)}) AS bit FROM (SELECT DISTINCT a1 FROM alice)")
+def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = parties.two_parties(spark, sf_dir)
+    return a.select("a1").distinct().select("a1", F.explode(strings.bloom_filter(F.col("a1"), HASHES, LENGTH)).alias("bit")).withColumn("bit", F.col("bit").cast("long"))
+
+
+@query(
+    _SAME
+    + f"""SELECT x1, y1, round(2.0::DOUBLE * len(list_intersect(p, q)) / (len(p) + len(q)), 6) AS sim
+       FROM (SELECT x1, y1, {S.filter_bits("x1", HASHES, LENGTH)} AS p, {S.filter_bits("y1", HASHES, LENGTH)} AS q FROM (SELECT DISTINCT x1, y1 FROM same))"""
+)
+def bloom_dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bf = lambda c: strings.bloom_filter(F.col(c), HASHES, LENGTH)
+    return _same(spark, sf_dir).select("x1", "y1").distinct().select("x1", "y1", F.round(strings.bloom_dice(bf("x1"), bf("y1")), 6).alias("sim"))
+
+
+@query(
+    with_(S.PARTIES)
+    + """, firsts AS ((SELECT a1, a2 FROM alice ORDER BY rec_id::BIGINT LIMIT 10000) UNION ALL (SELECT a1, a2 FROM bob ORDER BY rec_id::BIGINT LIMIT 10000))
+       SELECT floor(sum(length(a1))::DOUBLE / count(*))::BIGINT AS a1, floor(sum(length(a2))::DOUBLE / count(*))::BIGINT AS a2 FROM firsts"""
+)
+def attr_avg_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hlsh.mean_lengths(*parties.two_parties(spark, sf_dir), ["a1", "a2"])
+
+
+@query(
+    ORACLES["attr_avg_len"].replace("SELECT floor(sum(length(a1))", "SELECT ceil(1.0::DOUBLE / (1.0::DOUBLE - pow(0.5::DOUBLE, 1.0::DOUBLE / (30 * (a1 + 1)))))::BIGINT AS a1, ceil(1.0::DOUBLE / (1.0::DOUBLE - pow(0.5::DOUBLE, 1.0::DOUBLE / (30 * (a2 + 1)))))::BIGINT AS a2 FROM (SELECT floor(sum(length(a1))")
+    + ")"
+)
+def bf_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = hlsh.mean_lengths(*parties.two_parties(spark, sf_dir), ["a1", "a2"])
+    size = lambda c: F.ceil(F.lit(1.0) / (F.lit(1.0) - F.pow(F.lit(0.5), F.lit(1.0) / (30 * (F.col(c) + 1))))).alias(c)
+    return means.select(size("a1"), size("a2"))
+
+
+@query()
+def metaphone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.phonetic import metaphone
+
+    a, _ = parties.two_parties(spark, sf_dir)
+    return a.select("a1").distinct().select("a1", metaphone(F.col("a1")).alias("sound"))
+
+
+# ---------------------------------------------------------------- probability signatures
+
+_SIGNED = with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, HIGH))
+_PAIRS = "pairs AS (SELECT DISTINCT ka.rec_id AS a, kb.rec_id AS b FROM ka JOIN kb USING (block))"
+_GRAMMAR = ("0,q3", "1,*:0,0", "0,1:1,30")
+
+
+@query(
+    with_(S.PARTIES)
+    + f"""SELECT block, rec_id FROM (
+        SELECT unnest(CASE WHEN length(a1) < 3 THEN [a1] ELSE list_transform(range(1, length(a1) - 1), lambda i: substr(a1, i, 3) || '_0') END) AS block, rec_id FROM alice
+        UNION ALL SELECT {S.signature(_GRAMMAR[1])}, rec_id FROM alice UNION ALL SELECT {S.signature(_GRAMMAR[2])}, rec_id FROM alice) WHERE block <> ''"""
+)
+def psig_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _ = parties.two_parties(spark, sf_dir)
+    return psig.signatures(a, _GRAMMAR).filter("block <> ''")
+
+
+@query(_SIGNED + "SELECT block, rec_id FROM ka")
+def psig_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir)[2]
+
+
+@query(
+    _SIGNED
+    + f""", ba AS (SELECT DISTINCT block, unnest({S.bits("block", HASHES, 509)}) AS bit FROM sa), bb AS (SELECT DISTINCT unnest({S.bits("block", HASHES, 509)}) AS bit FROM sb),
+       common AS (SELECT DISTINCT bit FROM ba WHERE bit IN (SELECT bit FROM bb))
+       SELECT block, rec_id FROM sa WHERE block NOT IN (SELECT block FROM ba WHERE bit NOT IN (SELECT bit FROM common))"""
+)
+def psig_common_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (psig.signatures(p, S.SIGNATURES) for p in parties.two_parties(spark, sf_dir))
+    return psig.in_common_filter(a, psig.common_bits(a, b, HASHES, 509), HASHES, 509)
+
+
+@query(_SIGNED + "SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM ka GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM kb GROUP BY block) USING (block)")
+def psig_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ma, mb = _members(spark, sf_dir)
+    return shared_blocks(ma, mb)
+
+
+@query(_SIGNED + ", " + _PAIRS + " " + S.assessment("pairs"))
+def psig_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, ma, mb = _members(spark, sf_dir)
+    return metrics.assess(a, b, candidate_pairs(ma, mb))
+
+
+@query(_SIGNED + "SELECT min(n) AS min_bpr, max(n) AS max_bpr, avg(n) AS avg_bpr FROM (SELECT rec_id, count(*) AS n FROM ka GROUP BY rec_id)")
+def psig_blocks_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.blocks_per_record(_members(spark, sf_dir)[2])
+
+
+@query(
+    with_(S.PARTIES)
+    + """, ka AS (SELECT k || '_' || s AS block, rec_id FROM (SELECT 0 AS k, substr(a1, 1, 1) || substr(a2, 1, 2) AS s, rec_id FROM alice UNION ALL SELECT 1, a2 || substr(a1, 2, 2), rec_id FROM alice))
+       SELECT block, rec_id FROM ka WHERE block IN (SELECT block FROM ka GROUP BY block HAVING count(*) BETWEEN 2 AND 50)"""
+)
+def psig_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda f, *pos: {"type": "characters-at", "feature": f, "config": {"pos": list(pos)}}
+    config = {"signatureSpecs": [[at("a1", 0), at("a2", "0:2")], [{"type": "feature-value", "feature": "a2"}, at("a1", "1:3")]], "filter": {"type": "count", "min": 2, "max": 50}}
+    return psig.ConfiguredSignature(config).index(parties.two_parties(spark, sf_dir)[0])
+
+
+# ---------------------------------------------------------------- candidate pairs and metrics
+
+
+@query(_SIGNED + "SELECT DISTINCT ka.rec_id AS a, kb.rec_id AS b FROM ka JOIN kb USING (block)")
+def cand_pairs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ma, mb = _members(spark, sf_dir)
+    return candidate_pairs(ma, mb)
+
+
+@query(_SIGNED + ", s AS (" + ORACLES["psig_blocks"].removeprefix(_SIGNED) + ") SELECT coalesce(sum(na * nb), 0)::BIGINT AS cand_total, count(*) AS num_blocks FROM s")
+def cand_pairs_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ma, mb = _members(spark, sf_dir)
+    return metrics.total_pairs(shared_blocks(ma, mb))
+
+
+@query(
+    _SIGNED
+    + """SELECT min(n) AS min_blk, quantile_cont(n, 0.5)::DOUBLE AS med_blk, greatest(max(n), 1) AS max_blk, avg(n) AS avg_blk, round(stddev_pop(n), 6) AS std_dev, count(*) AS num_blocks
+       FROM (SELECT block, count(*) AS n FROM ka GROUP BY block)"""
+)
+def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.block_stats(_members(spark, sf_dir)[2]).withColumn("std_dev", F.round("std_dev", 6))
+
+
+@query(
+    _SIGNED
+    + """, m AS (SELECT DISTINCT block, rec_id FROM ka), deg AS (SELECT rec_id, count(*) AS d FROM m GROUP BY rec_id),
+       co AS (SELECT x.rec_id AS r, y.rec_id AS s, count(*) AS c FROM m x JOIN m y USING (block) GROUP BY 1, 2)
+       SELECT r AS rec_id, round(1.0::DOUBLE / count(*), 9) AS risk FROM co JOIN deg ON deg.rec_id = r WHERE c = d GROUP BY r"""
+)
+def disclosure_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.disclosure_risk(_members(spark, sf_dir)[2]).withColumn("risk", F.round("risk", 9))
+
+
+@query(
+    _SIGNED
+    + """SELECT round(1.0::DOUBLE - max(n) / c, 9) AS rg_max, round(1.0::DOUBLE - avg(n) / c, 9) AS rg_avg, round(1.0::DOUBLE - min(n) / c, 9) AS rg_min, max(qm) AS qg_max, round(max(qa), 9) AS qg_avg
+       FROM (SELECT block, count(*)::DOUBLE AS n FROM ka GROUP BY block), (SELECT count(*)::DOUBLE AS c FROM alice), (SELECT max(q) AS qm, avg(q) AS qa FROM (SELECT rec_id, count(*) AS q FROM ka GROUP BY rec_id)) GROUP BY c"""
+)
+def rg_qg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, _, ma, _ = _members(spark, sf_dir)
+    g = metrics.guarantees(ma, a.count())
+    return g.select(*[F.round(c, 9).alias(c) if c != "qg_max" else F.col(c) for c in g.columns])
+
+
+@query(_SIGNED + "SELECT block, na * nb AS pairs FROM (" + ORACLES["psig_blocks"].removeprefix(_SIGNED) + ") ORDER BY pairs DESC, block LIMIT 20")
+def largest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ma, mb = _members(spark, sf_dir)
+    return shared_blocks(ma, mb).select("block", (F.col("na") * F.col("nb")).alias("pairs")).orderBy(F.desc("pairs"), "block").limit(20)
+
+
+@query(
+    "WITH "
+    + ORACLES["disclosure_risk"].removeprefix("WITH ").replace("SELECT r AS rec_id", "risks AS (SELECT r AS rec_id", 1).replace("SELECT DISTINCT block", "SELECT DISTINCT block", 1).replace("GROUP BY 1, 2)\n", "GROUP BY 1, 2),\n")
+    + ") SELECT row_number() OVER (ORDER BY risk, rec_id) AS at, risk FROM risks"
+)
+def risk_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return disclosure_risk(spark, sf_dir).select(F.row_number().over(Window.orderBy("risk", "rec_id")).cast("long").alias("at"), "risk")
+
+
+@query(
+    _SIGNED
+    + """, m AS (SELECT 'a' AS p, block, rec_id FROM ka UNION SELECT 'b', block, rec_id FROM kb), deg AS (SELECT p, rec_id, count(*) AS d FROM m GROUP BY p, rec_id),
+       co AS (SELECT x.p, x.rec_id AS r, y.rec_id AS s, count(*) AS c FROM m x JOIN m y ON x.p = y.p AND x.block = y.block GROUP BY 1, 2, 3),
+       risk AS (SELECT co.p, r AS rec_id, round(1.0::DOUBLE / count(*), 9) AS risk FROM co JOIN deg ON deg.p = co.p AND deg.rec_id = r WHERE c = d GROUP BY co.p, r)
+       SELECT rec_id, max(risk) FILTER (p = 'a') AS arisk, max(risk) FILTER (p = 'b') AS brisk FROM risk GROUP BY rec_id"""
+)
+def aligned_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ma, mb = _members(spark, sf_dir)
+    both = sinks.aligned_risks(metrics.disclosure_risk(ma), metrics.disclosure_risk(mb))
+    return both.select("rec_id", F.round("arisk", 9).alias("arisk"), F.round("brisk", 9).alias("brisk"))
+
+
+@query(_SIGNED + "SELECT block || ',' || string_agg(rec_id, ',' ORDER BY rec_id) AS value FROM ka GROUP BY block")
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.block_lines(_members(spark, sf_dir)[2])
+
+
+# ---------------------------------------------------------------- reference values and sorted neighbourhoods
+
+_REFS = (S.PARTIES, S.refs(N_REFS), S.indexed("refs"))
+_ASOF = "below AS (SELECT key, max(idx) AS idx FROM (SELECT DISTINCT key FROM {0}) JOIN indexed ON ref <= key OR idx = 0 GROUP BY key)"
+_PREFIX = "substr({0}, 1, (3 * least(length({1}), length({2}))) // 4)"
+
+
+def _near(a: str, b: str) -> str:
+    return S.dice(_PREFIX.format(a, a, b), _PREFIX.format(b, a, b))
+
+
+@query(with_(S.PARTIES, S.refs(N_REFS)) + "SELECT pos, ref FROM refs")
+def ref_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refs(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(with_(*_REFS) + "SELECT idx, ref FROM indexed")
+def ref_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sn.reference_index(_refs(spark, sf_dir)).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(with_(*_REFS) + f"SELECT a.idx, round({_near('a.ref', 'b.ref')}, 6) AS sim FROM indexed a JOIN indexed b ON b.idx = a.idx + 1")
+def ref_next_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sn.next_similarity(sn.reference_index(_refs(spark, sf_dir))).select(F.col("idx").cast("long").alias("idx"), F.round("sim", 6).alias("sim"))
+
+
+@query(with_(*_REFS, _ASOF.format("alice")) + "SELECT rec_id, idx FROM alice JOIN below USING (key)")
+def asof_ref_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _keys(parties.two_parties(spark, sf_dir)[0])
+    return keys.join(sn.assign(keys, sn.reference_index(_refs(spark, sf_dir))), "key").select("rec_id", F.col("idx").cast("long").alias("idx"))
+
+
+def _folded(party: str, tag: str, indexed: str = "indexed") -> str:
+    """Ranges of the SIM fold as ``ranges_<tag>(lo, hi, n)``, by a recursive query over the indexes."""
+    return f"""asof_{tag} AS (SELECT key, max(idx) AS idx FROM (SELECT DISTINCT key FROM {party}) JOIN {indexed} ON ref <= key OR idx = 0 GROUP BY key),
+sized_{tag} AS (SELECT i.idx, i.ref, count(p.rec_id) AS n FROM {indexed} i LEFT JOIN (SELECT rec_id, idx FROM {party} JOIN asof_{tag} USING (key)) p ON p.idx = i.idx GROUP BY i.idx, i.ref),
+near_{tag} AS (SELECT b.idx, b.n, {_near("a.ref", "b.ref")} AS sim FROM sized_{tag} a JOIN sized_{tag} b ON b.idx = a.idx + 1),
+fold_{tag} AS (SELECT idx, idx AS lo, n AS held FROM sized_{tag} WHERE idx = 0
+    UNION ALL SELECT x.idx, CASE WHEN f.held <= {K} OR x.sim >= 0.8 THEN f.lo ELSE x.idx END, CASE WHEN f.held <= {K} OR x.sim >= 0.8 THEN f.held + x.n ELSE x.n END
+    FROM fold_{tag} f JOIN near_{tag} x ON x.idx = f.idx + 1),
+raw_{tag} AS (SELECT lo, max(idx) AS hi, max(held) AS n FROM fold_{tag} GROUP BY lo),
+tail_{tag} AS (SELECT *, row_number() OVER (ORDER BY lo DESC) AS back, lead(hi) OVER (ORDER BY lo) AS next_hi, lead(n) OVER (ORDER BY lo) AS next_n, count(*) OVER () AS m FROM raw_{tag}),
+ranges_{tag} AS (SELECT lo, CASE WHEN back = 2 AND next_n < {K} THEN next_hi ELSE hi END AS hi, CASE WHEN back = 2 AND next_n < {K} THEN n + next_n ELSE n END AS n
+    FROM tail_{tag} WHERE NOT (back = 1 AND m > 1 AND n < {K})),
+members_{tag} AS (SELECT lo AS block, lo, hi, rec_id FROM {party} JOIN asof_{tag} USING (key) JOIN ranges_{tag} ON idx BETWEEN lo AND hi)"""
+
+
+def _recursive(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+
+def _three(spark: SparkSession, sf_dir: str, how: str = "SIM") -> tuple[DataFrame, DataFrame, sn.SortedNeighbourhood, DataFrame, DataFrame]:
+    a, b = parties.two_parties(spark, sf_dir)
+    method = sn.SortedNeighbourhood(_refs(spark, sf_dir), K, how=how)
+    return a, b, method, method.index(_keys(a)), method.index(_keys(b))
+
+
+@query(_recursive(*_REFS, _folded("alice", "a")) + "SELECT block, lo, hi, rec_id FROM members_a")
+def sn3p_sim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _three(spark, sf_dir)[3]
+
+
+@query()
+def sn3p_size_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _three(spark, sf_dir, "SIZE")[3]
+
+
+_SN3P = _recursive(*_REFS, _folded("alice", "a"), _folded("bob", "b"))
+
+
+@query(_SN3P + "SELECT DISTINCT a.lo AS a_block, b.lo AS b_block FROM ranges_a a JOIN ranges_b b ON greatest(a.lo - 1, 0) <= b.hi AND b.lo <= a.hi + 1 WHERE a.n > 0 AND b.n > 0")
+def sn3p_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, method, ma, mb = _three(spark, sf_dir)
+    method.overlap = 1
+    return method.match(ma, mb)
+
+
+_SN3P_PAIRS = ", pairs AS (SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM members_a x JOIN members_b y ON x.lo <= y.hi AND y.lo <= x.hi) "
+
+
+@query(_SN3P + _SN3P_PAIRS + S.assessment("pairs"))
+def sn3p_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, method, ma, mb = _three(spark, sf_dir)
+    return metrics.assess(a, b, method.pairs(ma, mb))
+
+
+_TWO = (
+    S.PARTIES,
+    S.refs(N_REFS, "refs_a", "alice", "rec_id::BIGINT % 2 = 0"),
+    S.refs(N_REFS, "refs_b", "bob", "rec_id::BIGINT % 2 = 1"),
+    S.indexed("refs_a", "indexed_a"),
+    S.indexed("refs_b", "indexed_b"),
+)
+_WINDOWS = """vals AS (SELECT ref, max(a) AS a, max(b) AS b FROM (SELECT ref, 1 AS a, 0 AS b FROM {0} UNION ALL SELECT ref, 0, 1 FROM {1}) GROUP BY ref),
+ranked AS (SELECT *, row_number() OVER (ORDER BY ref) AS rn, count(*) OVER () AS total FROM vals),
+starts AS (SELECT rn AS start, total FROM ranked WHERE rn <= total - 3),
+ends AS (SELECT start, min(e.rn) AS stop FROM starts s, ranked e WHERE e.rn >= start + 3 AND (e.rn = e.total OR (
+    (SELECT sum(a) FROM ranked r WHERE r.rn BETWEEN s.start AND e.rn) >= 2 AND (SELECT sum(b) FROM ranked r WHERE r.rn BETWEEN s.start AND e.rn) >= 2)) GROUP BY start)"""
+
+
+def _two_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    a, b = parties.two_parties(spark, sf_dir)
+    ra = parties.hashed_values(_keys(a.filter("cast(rec_id as bigint) % 2 = 0")), N_REFS)
+    rb = parties.hashed_values(_keys(b.filter("cast(rec_id as bigint) % 2 = 1")), N_REFS)
+    return a, b, ra, rb
+
+
+@query(with_(*_TWO, _WINDOWS.format("refs_a", "refs_b")) + "SELECT start, stop FROM ends")
+def sn2p_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, ra, rb = _two_refs(spark, sf_dir)
+    return sn.window_ends(sn.windows(ra.select("ref"), rb.select("ref"), 2), 2).select(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+_SN2P = _recursive(*_TWO, _folded("alice", "a", "indexed_a"), _folded("bob", "b", "indexed_b"))
+_SN2P += """, at_a AS (SELECT ref, lo AS block FROM indexed_a JOIN (SELECT DISTINCT lo, hi FROM members_a) ON idx BETWEEN lo AND hi WHERE idx > 0),
+at_b AS (SELECT ref, lo AS block FROM indexed_b JOIN (SELECT DISTINCT lo, hi FROM members_b) ON idx BETWEEN lo AND hi WHERE idx > 0), """
+_SN2P += _WINDOWS.format("at_a", "at_b")
+_SN2P += """, met AS (SELECT DISTINCT x.ref AS a_ref, y.ref AS b_ref FROM ends JOIN ranked x ON x.rn BETWEEN start AND stop AND x.a = 1 JOIN ranked y ON y.rn BETWEEN start AND stop AND y.b = 1),
+linked AS (SELECT at_a.block AS a_block, at_b.block AS b_block FROM met JOIN at_a ON at_a.ref = a_ref JOIN at_b ON at_b.ref = b_ref) """
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sn.TwoPartySortedNeighbourhood, DataFrame, DataFrame]:
+    a, b, ra, rb = _two_refs(spark, sf_dir)
+    method = sn.TwoPartySortedNeighbourhood(ra, rb, K)
+    return a, b, method, method.index(_keys(a), "a"), method.index(_keys(b), "b")
+
+
+@query(_SN2P + "SELECT a_block, b_block FROM linked")
+def sn2p_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, method, ma, mb = _two(spark, sf_dir)
+    return method.match(ma, mb)
+
+
+@query(_SN2P.rstrip() + ", pairs AS (SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM linked JOIN members_a x ON x.block = a_block JOIN members_b y ON y.block = b_block) " + S.assessment("pairs"))
+def sn2p_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, method, ma, mb = _two(spark, sf_dir)
+    return metrics.assess(a, b, method.pairs(ma, mb))
+
+
+# ---------------------------------------------------------------- Hamming and Lambda-fold LSH
+
+
+def _hlsh() -> hlsh.HammingLsh:
+    return hlsh.HammingLsh(("a1", "a2"), LAYOUT.lengths, (60, 40), 10, 6, HASHES, 42)
+
+
+def _key_sql(k: int, sample: tuple[int, ...] | list[int]) -> str:
+    return f"'{k}_' || array_to_string(list_transform({S.literal(sample)}, lambda p: CASE WHEN list_contains(bf, p) THEN '1' ELSE '0' END), '')"
+
+
+def _hlsh_rows(party: str, tag: str) -> str:
+    part = lambda k: f"list_transform({S.filter_bits(f'a{k + 1}', HASHES, LAYOUT.lengths[k])}, lambda b: ({S.literal(LAYOUT.places(k))})[b + 1])"
+    keys = ", ".join(_key_sql(k, s) for k, s in enumerate(LAYOUT.samples))
+    return f"bf_{tag} AS (SELECT a1, a2, list_concat({part(0)}, {part(1)}) AS bf FROM (SELECT DISTINCT a1, a2 FROM {party})), h{tag} AS (SELECT unnest([{keys}]) AS block, rec_id FROM {party} JOIN bf_{tag} USING (a1, a2))"
+
+
+@query(with_(S.PARTIES, _hlsh_rows("alice", "a")) + "SELECT block, rec_id FROM ha")
+def hlsh_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hlsh().index(parties.two_parties(spark, sf_dir)[0])
+
+
+_HLSH = with_(S.PARTIES, _hlsh_rows("alice", "a"), _hlsh_rows("bob", "b"))
+
+
+@query(_HLSH + "SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM ha GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM hb GROUP BY block) USING (block)")
+def hlsh_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = _hlsh()
+    return method.match(*(method.index(p) for p in parties.two_parties(spark, sf_dir)))
+
+
+@query(_HLSH.rstrip() + ", pairs AS (SELECT DISTINCT ha.rec_id AS a, hb.rec_id AS b FROM ha JOIN hb USING (block)) " + S.assessment("pairs"))
+def hlsh_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    method = _hlsh()
+    return metrics.assess(a, b, candidate_pairs(method.index(a), method.index(b)))
+
+
+def _fold_rows(party: str, tag: str) -> str:
+    keys = ", ".join(_key_sql(k, s) for k, s in enumerate(FOLD.samples()))
+    bf = f"list_distinct(list_concat({S.filter_bits('a1', 3, LENGTH)}, {S.filter_bits('a2', 3, LENGTH)}))"
+    return f"bf_{tag} AS (SELECT a1, a2, {bf} AS bf FROM (SELECT DISTINCT a1, a2 FROM {party})), l{tag} AS (SELECT unnest([{keys}]) AS block, rec_id FROM {party} JOIN bf_{tag} USING (a1, a2))"
+
+
+@query(with_(S.PARTIES, _fold_rows("alice", "a")) + "SELECT block, rec_id FROM la")
+def lambda_fold_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FOLD.index(parties.two_parties(spark, sf_dir)[0])
+
+
+@query(with_(S.PARTIES, _fold_rows("alice", "a"), _fold_rows("bob", "b")) + "SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM la GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM lb GROUP BY block) USING (block)")
+def lambda_fold_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FOLD.match(*(FOLD.index(p) for p in parties.two_parties(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- clustering of reference values
+
+
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reference value as a cluster of its own."""
+    return _refs(spark, sf_dir).select(F.col("pos").cast("int").alias("pos"), F.col("pos").cast("int").alias("cluster"), "ref")
+
+
+def _nearest(party: str, tag: str) -> str:
+    return f"""sim_{tag} AS (SELECT key, pos, {S.dice("key", "ref")} AS sim FROM (SELECT DISTINCT key FROM {party}), refs),
+best_{tag} AS (SELECT key, arg_max(pos, (round(sim, 12), -pos)) AS pos, max(sim) AS sim FROM sim_{tag} GROUP BY key),
+n{tag} AS (SELECT CASE WHEN sim > 0 THEN pos ELSE -1 END AS block, rec_id, sim FROM {party} JOIN best_{tag} USING (key))"""
+
+
+_KNN = with_(S.PARTIES, S.refs(N_REFS), _nearest("alice", "a"), _nearest("bob", "b"))
+
+
+@query(_KNN + "SELECT rec_id, block, round(sim, 6) AS sim FROM na")
+def knn_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _keys(parties.two_parties(spark, sf_dir)[0])
+    best = clustering.assign_nearest(keys, _single(spark, sf_dir))
+    return keys.join(best, "key").select("rec_id", F.col("cluster").cast("long").alias("block"), F.round("sim", 6).alias("sim"))
+
+
+@query(_KNN + f"SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM na GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM nb GROUP BY block) USING (block) WHERE na >= {K} AND nb >= {K}")
+def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = clustering.NearestNeighbour(_single(spark, sf_dir), K)
+    return method.match(*(method.index(_keys(p)) for p in parties.two_parties(spark, sf_dir))).withColumn("block", F.col("block").cast("long"))
+
+
+@query(_KNN.rstrip() + f", ok AS (SELECT block FROM na GROUP BY block HAVING count(*) >= {K} INTERSECT SELECT block FROM nb GROUP BY block HAVING count(*) >= {K}), pairs AS (SELECT DISTINCT na.rec_id AS a, nb.rec_id AS b FROM na JOIN nb USING (block) WHERE block IN (SELECT block FROM ok)) " + S.assessment("pairs"))
+def knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    method = clustering.NearestNeighbour(_single(spark, sf_dir), K)
+    ma, mb = method.index(_keys(a)), method.index(_keys(b))
+    kept = method.match(ma, mb).select("block")
+    return metrics.assess(a, b, candidate_pairs(ma.join(kept, "block", "left_semi"), mb.join(kept, "block", "left_semi")))
+
+
+@query()
+def knn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = [r["ref"] for r in _refs(spark, sf_dir).orderBy("pos").collect()]
+    found = clustering.nearest_neighbour_clusters(values, 0.3)
+    return clustering.clusters_frame(spark, dict(enumerate(found)))
+
+
+@query(
+    with_(S.PARTIES, S.refs(N_REFS))
+    + f""", c AS (SELECT pos, pos % 6 AS cluster, ref FROM refs), s AS (SELECT x.cluster, x.ref, round(sum({S.dice("x.ref", "y.ref")}) - 1, 9) AS s FROM c x JOIN c y ON x.cluster = y.cluster GROUP BY x.cluster, x.ref)
+       SELECT cluster, arg_max(ref, (s, ref)) AS ref FROM s GROUP BY cluster"""
+)
+def knn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = _single(spark, sf_dir).withColumn("cluster", F.col("pos") % 6)
+    return clustering.medoids(fixed).select(F.col("cluster").cast("long").alias("cluster"), "ref")
+
+
+@query()
+def hclust_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = [r["ref"] for r in _refs(spark, sf_dir).orderBy("pos").collect()]
+    return clustering.clusters_frame(spark, clustering.average_linkage(values, N_REFS // 3))
+
+
+@query(_KNN + "SELECT rec_id, CASE WHEN block < 0 THEN 0 ELSE block END AS block FROM na")
+def hclust_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _keys(parties.two_parties(spark, sf_dir)[0])
+    return clustering.HierarchicalClustering(_single(spark, sf_dir)).index(keys).select("rec_id", F.col("block").cast("long").alias("block"))
+
+
+@query(
+    _KNN
+    + """SELECT pos AS block, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM refs LEFT JOIN (SELECT greatest(block, 0) AS pos, count(*) AS na FROM na GROUP BY 1) USING (pos)
+       LEFT JOIN (SELECT greatest(block, 0) AS pos, count(*) AS nb FROM nb GROUP BY 1) USING (pos)"""
+)
+def hclust_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = clustering.HierarchicalClustering(_single(spark, sf_dir))
+    ma, mb = (method.padded(method.index(_keys(p))) for p in parties.two_parties(spark, sf_dir))
+    return method.match(ma, mb).withColumn("block", F.col("block").cast("long"))
+
+
+@query()
+def hclust_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = clustering.HierarchicalClustering(_single(spark, sf_dir))
+    return method.noise(method.index(_keys(parties.two_parties(spark, sf_dir)[0])))
+
+
+# ---------------------------------------------------------------- many parties
+
+_MANY = with_(S.MANY, "members AS (SELECT party, substr(a1, 1, 3) || substr(a2, 1, 2) AS block, rec_id FROM records)")
+
+
+def _many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = parties.many_parties(spark, sf_dir)
+    return records, records.select("party", F.concat(F.substring("a1", 1, 3), F.substring("a2", 1, 2)).alias("block"), "rec_id")
+
+
+@query(_MANY + "SELECT rec_id AS ent, party, rec_id FROM records WHERE rec_id IN (SELECT rec_id FROM records GROUP BY rec_id HAVING count(DISTINCT party) >= 4)")
+def mp_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiparty.true_sets(_many(spark, sf_dir)[0], 4).select("ent", F.col("party").cast("long").alias("party"), "rec_id")
+
+
+_HELD = "held AS (SELECT * FROM members WHERE block IN (SELECT block FROM members GROUP BY block HAVING count(DISTINCT party) >= 5))"
+
+
+@query(_MANY.rstrip() + f", {_HELD} SELECT party, block, rec_id FROM held")
+def mp_blocks_k_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiparty.blocks_of_at_least(_many(spark, sf_dir)[1], 5).select(F.col("party").cast("long").alias("party"), "block", "rec_id")
+
+
+@query(
+    _MANY.rstrip()
+    + f""", {_HELD}, p AS (SELECT block, product(n) AS p FROM (SELECT block, party, count(*) AS n FROM held GROUP BY block, party) GROUP BY block)
+       SELECT comparisons, naive, round(1.0::DOUBLE - comparisons / naive, 9) AS rr FROM (SELECT coalesce(sum(p), 0)::DOUBLE AS comparisons FROM p), (SELECT product(n)::DOUBLE AS naive FROM (SELECT count(*) AS n FROM records GROUP BY party))"""
+)
+def mp_reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiparty.reduction(*_many(spark, sf_dir), 5).withColumn("rr", F.round("rr", 9))
+
+
+@query(
+    _MANY.rstrip()
+    + f""", {_HELD}, truth AS (SELECT rec_id, party FROM records WHERE rec_id IN (SELECT rec_id FROM records GROUP BY rec_id HAVING count(DISTINCT party) >= 4)),
+       size AS (SELECT rec_id, count(*) AS n FROM truth GROUP BY rec_id), met AS (SELECT t.rec_id, block, count(*) AS c FROM truth t JOIN (SELECT DISTINCT party, block, rec_id FROM held) h ON h.party = t.party AND h.rec_id = t.rec_id GROUP BY 1, 2)
+       SELECT contained, true_sets, contained::DOUBLE / true_sets AS sc FROM (SELECT count(DISTINCT met.rec_id) AS contained FROM met JOIN size ON size.rec_id = met.rec_id WHERE c = n), (SELECT count(*) AS true_sets FROM size)"""
+)
+def mp_set_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, members = _many(spark, sf_dir)
+    truth = multiparty.true_sets(records, 4).select("party", "rec_id").join(records, ["party", "rec_id"])
+    return multiparty.set_completeness(truth, multiparty.blocks_of_at_least(members, 5), 4)
+
+
+# ---------------------------------------------------------------- sweeps and reports
+
+_LIMITS = (10, 30, 60, 120)
+
+
+def _one_of(sql: str, name: str, value: object) -> str:
+    return f"SELECT {value} AS {name}, * FROM ({sql})"
+
+
+@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, h), "s AS (" + ORACLES["psig_blocks"].removeprefix(_SIGNED) + ")") + "SELECT coalesce(sum(na * nb), 0)::BIGINT AS cand_total, count(*) AS num_blocks FROM s", "drop_limit", h) for h in _LIMITS))
+def sweep_drop_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (psig.signatures(p, S.SIGNATURES) for p in parties.two_parties(spark, sf_dir))
+    rows = [metrics.total_pairs(shared_blocks(frequency_filter(a, LOW, h), frequency_filter(b, LOW, h))).select(F.lit(h).alias("drop_limit"), "cand_total", "num_blocks") for h in _LIMITS]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_SUBSETS = [c for n in (1, 2, 3) for c in combinations(("0,0:0,1:1,0", "1,0:1,1:1,2", "0,*"), n)]
+
+
+@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(c, LOW, HIGH), _PAIRS) + S.assessment("pairs"), "signatures", "'" + "|".join(c) + "'") for c in _SUBSETS))
+def sig_subset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    rows = []
+    for c in _SUBSETS:
+        method = psig.PSignature(c, LOW, HIGH)
+        rows.append(metrics.assess(a, b, candidate_pairs(method.index(a), method.index(b))).select(F.lit("|".join(c)).alias("signatures"), "*"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "SELECT 'hlsh' AS \"Method\", rr, pc, pq FROM (" + ORACLES["hlsh_metrics"] + ") UNION ALL SELECT 'knn', rr, pc, pq FROM (" + ORACLES["knn_metrics"]
+    + ") UNION ALL SELECT 'psig', rr, pc, pq FROM (" + ORACLES["psig_metrics"] + ") UNION ALL SELECT 'snc2p', rr, pc, pq FROM (" + ORACLES["sn2p_metrics"] + ") UNION ALL SELECT 'snn_sim', rr, pc, pq FROM (" + ORACLES["sn3p_metrics"] + ")"
+)
+def method_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {"hlsh": hlsh_metrics, "knn": knn_metrics, "psig": psig_metrics, "snc2p": sn2p_metrics, "snn_sim": sn3p_metrics}
+    rows = [f(spark, sf_dir).select(F.lit(n).alias("Method"), "rr", "pc", "pq") for n, f in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
