@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def true_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return na.join(nb, "ent_id").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("true_total"))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row: a union that is aggregated, not a join."""
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+    return both.agg(*[F.max(c).alias(c) for r in rows for c in r.columns])
+
+
 def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(-1.0))
 
@@ -47,11 +55,9 @@ def assess(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     A pair is a true match if its records have one entity id.
     """
     known = pairs.join(a.select(F.col("rec_id").alias("a"), F.col("ent_id").alias("ea")), "a").join(b.select(F.col("rec_id").alias("b"), F.col("ent_id").alias("eb")), "b")
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    out = one(known.agg(F.count(F.lit(1)).alias("cand"), F.count_if(F.col("ea") == F.col("eb")).alias("true_cand")))
-    for part in (true_matches(a, b), a.agg(F.count(F.lit(1)).alias("na")), b.agg(F.count(F.lit(1)).alias("nb"))):
-        out = out.join(one(part), "_k")
-    return out.drop("_k").withColumns(
+    counted = known.agg(F.count(F.lit(1)).alias("cand"), F.count_if(F.col("ea") == F.col("eb")).alias("true_cand"))
+    out = side_by_side(counted, true_matches(a, b), a.agg(F.count(F.lit(1)).alias("na")), b.agg(F.count(F.lit(1)).alias("nb")))
+    return out.withColumns(
         {
             "rr": F.when(F.col("na") * F.col("nb") > 0, 1.0 - F.col("cand") / (F.col("na") * F.col("nb"))).otherwise(F.lit(-1.0)),
             "pc": _ratio(F.col("true_cand"), F.col("true_total")),
@@ -79,7 +85,6 @@ def disclosure_risk(members: DataFrame) -> DataFrame:
 
 def guarantees(members: DataFrame, records: int) -> DataFrame:
     """One row: reduction guarantees rg_max, rg_avg, rg_min and quality guarantees qg_max, qg_avg."""
-    s = block_stats(members).select("min_blk", "avg_blk", "max_blk").withColumn("_k", F.lit(1))
-    q = blocks_per_record(members).withColumn("_k", F.lit(1))
+    both = side_by_side(block_stats(members).select("min_blk", "avg_blk", "max_blk"), blocks_per_record(members))
     share = lambda c: F.lit(1.0) - F.col(c) / F.lit(records)
-    return s.join(q, "_k").select(share("max_blk").alias("rg_max"), share("avg_blk").alias("rg_avg"), share("min_blk").alias("rg_min"), F.col("max_bpr").alias("qg_max"), F.col("avg_bpr").alias("qg_avg"))
+    return both.select(share("max_blk").alias("rg_max"), share("avg_blk").alias("rg_avg"), share("min_blk").alias("rg_min"), F.col("max_bpr").alias("qg_max"), F.col("avg_bpr").alias("qg_avg"))

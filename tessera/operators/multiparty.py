@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.metrics import side_by_side
+
 
 def blocks_of_at_least(members: DataFrame, k: int) -> DataFrame:
     """Memberships (party, block, rec_id) of the blocks that at least ``k`` parties have."""
@@ -26,9 +28,9 @@ def reduction(records: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """
     sizes = blocks_of_at_least(members, k).groupBy("block", "party").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
     product = lambda c: F.aggregate(F.collect_list(c), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-    done = sizes.groupBy("block").agg(product("n").alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).cast("double").alias("comparisons")).withColumn("_k", F.lit(1))
-    naive = records.groupBy("party").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n")).agg(product("n").cast("double").alias("naive")).withColumn("_k", F.lit(1))
-    return done.join(naive, "_k").select("comparisons", "naive", (F.lit(1.0) - F.col("comparisons") / F.col("naive")).alias("rr"))
+    done = sizes.groupBy("block").agg(product("n").alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0)).cast("double").alias("comparisons"))
+    naive = records.groupBy("party").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n")).agg(product("n").cast("double").alias("naive"))
+    return side_by_side(done, naive).select("comparisons", "naive", (F.lit(1.0) - F.col("comparisons") / F.col("naive")).alias("rr"))
 
 
 def set_completeness(records: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -37,7 +39,7 @@ def set_completeness(records: DataFrame, members: DataFrame, k: int) -> DataFram
     size = truth.groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
     met = truth.join(blocks_of_at_least(members, k).select("party", "rec_id", "block").distinct(), ["party", "rec_id"])
     whole = met.groupBy("ent", "block").agg(F.count(F.lit(1)).alias("c")).join(size, "ent").filter("c = n").select("ent").distinct()
-    found = whole.agg(F.count(F.lit(1)).alias("contained")).withColumn("_k", F.lit(1))
-    return found.join(size.agg(F.count(F.lit(1)).alias("true_sets")).withColumn("_k", F.lit(1)), "_k").select(
+    found = whole.agg(F.count(F.lit(1)).alias("contained"))
+    return side_by_side(found, size.agg(F.count(F.lit(1)).alias("true_sets"))).select(
         "contained", "true_sets", F.when(F.col("true_sets") > 0, F.col("contained") / F.col("true_sets")).otherwise(F.lit(-1.0)).alias("sc")
     )
