@@ -87,7 +87,7 @@ def _placed(classes: DataFrame, cells: dict[tuple[int, int], np.ndarray], thresh
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            label, dim = (np.array(batch.column(names.index(c)).to_pylist()) for c in ("label", "dim"))
+            label, dim = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("label", "dim"))
             vectors = batch.column(names.index("v"))
             row, cell, home = [], [], []
             for key in sorted(set(zip(label.tolist(), dim.tolist(), strict=True))):
@@ -132,10 +132,9 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _block_links(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        home = np.array(table.column("side").to_pylist()) == 0
-        reps = np.array(table.column("rep").to_pylist(), np.int64)
-        copies = np.array(table.column("copies").to_pylist(), np.int64)
-        x = unit(np.array(table.column("v").to_pylist(), np.float64))
+        home = table.column("side").to_numpy() == 0
+        reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        x = unit(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(reps), -1))
         h, other = np.flatnonzero(home), np.flatnonzero(~home)
         hit = x[h] @ x[other].T >= threshold
         hit &= reps[h][:, None] != reps[other][None, :]
