@@ -19,16 +19,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text import chunks, held_out
+from tessera.session import materialise
 
 LONGEST = 5
 PER_LANGUAGE = 3000
 KEEP_WORDS, KEEP_GRAMS = 60_000, 120_000
 UNKNOWN = "und"
-#: Share of a document's evidence that the score rests on: log likelihoods are tempered by its root.
 _LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 _ASCII = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
 
@@ -49,32 +49,42 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Rows of ``weights`` are log frequencies by language; words and n-grams point at their rows."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of the word in each language, backing off where it is unknown."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+    words: dict[str, int]
+    grams: dict[str, int]
+    weights: np.ndarray
+
+    def back_off(self, word: str) -> tuple[int, ...]:
+        """Rows of the longest known n-grams of an unknown word."""
+        get = self.grams.get
         for n in range(LONGEST, 0, -1):
-            found = [x for g in grams_of(word, n) if (x := self.grams.get(g)) is not None]
+            found = tuple(i for g in grams_of(word, n) if (i := get(g)) is not None)
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return found
+        return ()
 
 
-def predict_text(model: Model, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+def predict_text(model: Model, text: str | None, cache: dict[str, tuple[int, ...]]) -> tuple[str, float]:
     words = words_of(text) if text else []
     if not words or not model.languages:
         return UNKNOWN, 0.0
-    total = np.zeros(len(model.languages))
-    for w, n in Counter(words).items():
-        v = cache.get(w)
-        if v is None:
-            v = cache[w] = model.word(w)
-        total += n * v
+    rows = [model.words.get(w, -1) for w in words]
+    known = [i for i in rows if i >= 0]
+    total = model.weights[known].sum(axis=0)
+    if len(known) < len(rows):
+        parts = []
+        for w, i in zip(words, rows, strict=True):
+            if i < 0:
+                found = cache.get(w)
+                if found is None:
+                    found = cache[w] = model.back_off(w)
+                if found:
+                    parts.append(found)
+        if parts:
+            share = np.repeat([1.0 / len(p) for p in parts], [len(p) for p in parts])
+            total = total + share @ model.weights[[i for p in parts for i in p]]
     tempered = total / len(words) ** 0.5
     p = np.exp(tempered - tempered.max())
     best = int(p.argmax())
@@ -110,28 +120,27 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep_words: int = KEE
     chosen = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("_id", "_lang").distinct()
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     counts = _count(sample).groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    entry = F.collect_list(F.struct("lang", "n")).alias("by")
-    grouped = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), entry)
-    grouped.persist()
-    sums: dict[tuple[int, str], int] = {}
-    for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect():
-        sums[r["kind"], r["lang"]] = r["n"]
+    by = F.collect_list(F.struct("lang", "n"))
+    grouped = materialise(counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), by.alias("by")), "gram-counts")
+    sums = {(r["kind"], r["lang"]): r["n"] for r in grouped.select("kind", F.explode("by").alias("x")).groupBy("kind", "x.lang").agg(F.sum("x.n").alias("n")).collect()}
     languages = sorted({lang for _, lang in sums})
-    index = {lang: k for k, lang in enumerate(languages)}
-    made: list[dict[str, np.ndarray]] = []
-    for words, keep in ((True, keep_words), (False, keep_grams)):
-        part = grouped.filter("kind = 0" if words else "kind > 0").orderBy(F.desc("total"), "kind", "gram").limit(keep)
-        table = {}
-        for r in part.collect():
-            n = np.full(len(languages), 0.5)
-            for x in r["by"]:
-                n[index[x["lang"]]] += x["n"]
-            all_ = np.array([sums.get((r["kind"], lang), 0) + 1.0 for lang in languages])
-            v = np.log(n / all_)
-            table[r["gram"]] = (v - v.mean()).astype(np.float64)
-        made.append(table)
-    grouped.unpersist()
-    return Model(languages, *made)
+    parts, pointers = [], []
+    for test, keep in (("kind = 0", keep_words), ("kind > 0", keep_grams)):
+        top = grouped.filter(test).orderBy(F.desc("total"), "kind", "gram").limit(keep)
+        counted = top.select("gram", *[F.coalesce(F.get(_of(lang), F.lit(0)), F.lit(0)).cast("double").alias(f"n{k}") for k, lang in enumerate(languages)], "kind").toArrow()
+        kinds = counted.column("kind").to_numpy()
+        n = np.stack([counted.column(f"n{k}").to_numpy() for k in range(len(languages))], 1) if languages else np.zeros((0, 0))
+        all_ = np.array([[sums.get((kind, lang), 0) + 1.0 for lang in languages] for kind in range(LONGEST + 1)]).reshape(LONGEST + 1, -1)
+        v = np.log((n + 0.5) / all_[kinds])
+        before = sum(len(p) for p in parts)
+        pointers.append({g: before + k for k, g in enumerate(counted.column("gram").to_pylist())})
+        parts.append(v - v.mean(axis=1, keepdims=True) if len(v) else v)
+    return Model(languages, *pointers, np.concatenate(parts))
+
+
+def _of(lang: str) -> Column:
+    """The counts of one language in ``by``, as an array of one or none."""
+    return F.transform(F.filter("by", lambda x: x["lang"] == lang), lambda x: x["n"])
 
 
 def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
