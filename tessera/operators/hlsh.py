@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.strings import bit_strings, bloom_filter, bloom_length
+from tessera.functions.strings import bit_strings, bloom_bits, bloom_length, qgrams
 from tessera.operators.blocks import shared_blocks
 
 
@@ -52,14 +52,30 @@ class Layout:
         return [self.shuffle[before + b] if b in kept else -1 for b in range(self.lengths[attribute])]
 
 
-def record_filter(columns: Sequence[Column], layout: Layout, hashes: int) -> Column:
-    """The bits of a record's filter: sampled bits of each attribute's filter, offset and shuffled."""
+def value_filters(values: DataFrame, attributes: Sequence[str], lengths: Sequence[int], hashes: int, layout: Layout | None = None) -> DataFrame:
+    """(attributes, bits): the bits of each combination of values, sampled, offset and shuffled by a layout.
+
+    Grams are hashed once each, not once per record: names have few. A record's rows stay in one
+    partition, so its bits meet again without a shuffle.
+    """
+    kinds = range(len(attributes) if layout else 1)
+    lists = [F.transform(F.array_distinct(qgrams(F.col(a))), _marker(k if layout else 0)) for k, a in enumerate(attributes)]
+    rows = values.select(*attributes, F.explode(F.array_distinct(F.concat(*lists))).alias("g")).select(*attributes, "g.k", "g.gram")
+    bits = F.lit(None)
+    for k in kinds:
+        own = bloom_bits(F.col("gram"), hashes, lengths[k])
+        bits = F.when(F.col("k") == k, _placed(own, layout.places(k)) if layout else own).otherwise(bits)
+    known = rows.select("k", "gram").distinct().withColumn("bits", bits)
+    return rows.join(known, ["k", "gram"]).groupBy(*attributes).agg(F.array_distinct(F.flatten(F.collect_list("bits"))).alias("bits"))
+
+
+def _marker(k: int):
+    return lambda g: F.struct(F.lit(k).alias("k"), g.alias("gram"))
 
-    def placed(k: int, c: Column) -> Column:
-        places = F.array(*[F.lit(p) for p in layout.places(k)])
-        return F.transform(bloom_filter(c, hashes, layout.lengths[k]), lambda b: F.get(places, b))
 
-    return F.filter(F.flatten(F.array(*[placed(k, c) for k, c in enumerate(columns)])), lambda b: b >= 0)
+def _placed(bits: Column, places: Sequence[int]) -> Column:
+    at = F.array(*[F.lit(p) for p in places])
+    return F.filter(F.transform(bits, lambda b: F.get(at, b)), lambda b: b >= 0)
 
 
 @dataclass
@@ -79,8 +95,8 @@ class HammingLsh:
         layout = Layout.make(self.lengths, self.sample_percent, self.bits, self.iterations, self.seed)
         # a record's filter is made once per distinct combination of values
         values = party.select(*self.attributes).distinct()
-        bits = record_filter([F.col(a) for a in self.attributes], layout, self.hashes)
-        keyed = values.withColumn("keys", bit_strings(bits, layout.samples, sum(layout.lengths)))
+        filters = value_filters(values, self.attributes, self.lengths, self.hashes, layout)
+        keyed = filters.select(*self.attributes, bit_strings(F.col("bits"), layout.samples, sum(layout.lengths)).alias("keys"))
         if not self.strict:
             keyed = keyed.withColumn("keys", F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit("_"), k)))
         return party.select("rec_id", *self.attributes).join(keyed, list(self.attributes)).select(F.explode("keys").alias("block"), "rec_id")
@@ -105,8 +121,8 @@ class LambdaFoldLsh:
         return [rng.sample(range(self.length), self.bits) for _ in range(self.folds)]
 
     def index(self, party: DataFrame) -> DataFrame:
-        bits = F.array_distinct(F.flatten(F.array(*[bloom_filter(F.col(a), self.hashes, self.length) for a in self.attributes])))
-        keyed = party.select(*self.attributes).distinct().withColumn("keys", bit_strings(bits, self.samples(), self.length))
+        filters = value_filters(party.select(*self.attributes).distinct(), self.attributes, [self.length], self.hashes)
+        keyed = filters.select(*self.attributes, bit_strings(F.col("bits"), self.samples(), self.length).alias("keys"))
         keyed = keyed.withColumn("keys", F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit("_"), k)))
         return party.select("rec_id", *self.attributes).join(keyed, list(self.attributes)).select(F.explode("keys").alias("block"), "rec_id")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.registry import similarity
 from tessera.functions.strings import FIRST_PAD, common_prefix_similarity
 from tessera.operators.blocks import linked_pairs
+from tessera.session import materialise
 
 #: Reference values between two split points of an as-of join.
 STEP = 512
@@ -42,9 +43,9 @@ def assign(keys: DataFrame, index: DataFrame, step: int = STEP) -> DataFrame:
     return swept.filter("idx is null").select("key", F.coalesce("at", F.lit(0)).alias("idx"))
 
 
-def index_sizes(party_keys: DataFrame, index: DataFrame, similarity_name: str = "dice") -> DataFrame:
-    """(idx, ref, n, sim): records per reference value, and its similarity to the one before."""
-    sized = party_keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(assign(party_keys, index), "key").groupBy("idx").agg(F.sum("k").alias("n"))
+def index_sizes(at: DataFrame, index: DataFrame, similarity_name: str = "dice") -> DataFrame:
+    """(idx, ref, n, sim): records of ``at(rec_id, idx)`` per reference value, and its similarity to the one before."""
+    sized = at.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
     before = F.lag("ref").over(Window.orderBy("idx"))
     near = common_prefix_similarity(F.col("before"), F.col("ref"), similarity(similarity_name))
     rows = index.withColumn("before", before).withColumn("sim", F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(near))
@@ -161,15 +162,16 @@ class SortedNeighbourhood:
     similarity_name: str = "dice"
     strict: bool = False
 
-    def ranges(self, party_keys: DataFrame) -> DataFrame:
-        sized = index_sizes(party_keys, reference_index(self.refs), self.similarity_name)
-        return _ranges(sized, self.how, self.k, self.threshold, self.strict)
-
     def index(self, party_keys: DataFrame) -> DataFrame:
-        """(block, lo, hi, rec_id) of a party's (rec_id, key); block is the range's first index."""
-        spread = self.ranges(party_keys).select(F.col("lo").alias("block"), "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("idx"))
-        at = party_keys.join(assign(party_keys, reference_index(self.refs)), "key")
-        return at.join(spread, "idx").select("block", "lo", "hi", "rec_id")
+        """(block, lo, hi, rec_id) of a party's (rec_id, key); block is the range's first index.
+
+        Built once and written: matching and assessing read it again.
+        """
+        refs = materialise(reference_index(self.refs), "references")
+        at = materialise(party_keys.join(assign(party_keys, refs), "key").select("rec_id", "idx"), "assigned")
+        ranges = _ranges(index_sizes(at, refs, self.similarity_name), self.how, self.k, self.threshold, self.strict)
+        spread = ranges.select(F.col("lo").alias("block"), "lo", "hi", F.explode(F.sequence("lo", "hi")).alias("idx"))
+        return materialise(at.join(spread, "idx").select("block", "lo", "hi", "rec_id"), "members")
 
     def match(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """(a_block, b_block) of ranges that share an index, widened by ``overlap``."""
