@@ -14,6 +14,7 @@ from tessera.operators import clustering, hlsh, metrics, multiparty, psig
 from tessera.operators import sorted_neighbourhood as sn
 from tessera.operators.blocks import candidate_pairs, frequency_filter, linked_pairs, shared_blocks
 from tessera.plans import fixture_sql as S
+from tessera.plans import reports
 from tessera.sources import parties, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,8 +373,8 @@ def sn3p_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TWO = (
     S.PARTIES,
-    S.refs(N_REFS, "refs_a", "alice", "rec_id::BIGINT % 2 = 0"),
-    S.refs(N_REFS, "refs_b", "bob", "rec_id::BIGINT % 2 = 1"),
+    S.refs(N_REFS, "refs_a", "alice", "a"),
+    S.refs(N_REFS, "refs_b", "bob", "b"),
     S.indexed("refs_a", "indexed_a"),
     S.indexed("refs_b", "indexed_b"),
 )
@@ -386,8 +387,8 @@ ends AS (SELECT start, min(e.rn) AS stop FROM starts s, ranked e WHERE e.rn >= s
 
 def _two_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     a, b = parties.two_parties(spark, sf_dir)
-    ra = parties.hashed_values(_keys(a.filter("cast(rec_id as bigint) % 2 = 0")), N_REFS)
-    rb = parties.hashed_values(_keys(b.filter("cast(rec_id as bigint) % 2 = 1")), N_REFS)
+    ra = parties.hashed_values(_keys(a), N_REFS, "a")
+    rb = parties.hashed_values(_keys(b), N_REFS, "b")
     return a, b, ra, rb
 
 
@@ -608,6 +609,15 @@ def mp_set_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sweeps and reports
 
+_SWEPT = with_("sweep AS (SELECT 'psig' AS \"Method\", *, 0.5::DOUBLE * drop_limit AS dbo_time, 0.25::DOUBLE * drop_limit AS lu_time FROM ({0}))")
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of the frequency sweep, with times that stand for measured ones."""
+    rows = drop_limit_metrics(spark, sf_dir)
+    return rows.select(F.lit("psig").alias("Method"), "*", (F.lit(0.5) * F.col("drop_limit")).alias("dbo_time"), (F.lit(0.25) * F.col("drop_limit")).alias("lu_time"))
+
+
 _LIMITS = (10, 30, 60, 120)
 
 
@@ -622,6 +632,29 @@ def sweep_drop_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, h), _PAIRS) + S.assessment("pairs"), "drop_limit", h) for h in _LIMITS))
+def drop_limit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    sa, sb = (psig.signatures(p, S.SIGNATURES) for p in (a, b))
+    rows = [metrics.assess(a, b, candidate_pairs(frequency_filter(sa, LOW, h), frequency_filter(sb, LOW, h))).select(F.lit(h).alias("drop_limit"), "*") for h in _LIMITS]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + 'SELECT "Method", round(avg(pc), 9) AS mean_pc, round(stddev_pop(pc), 9) AS std_pc FROM sweep GROUP BY "Method"')
+def report_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.variance(_swept(spark, sf_dir)).select("Method", F.round("mean_pc", 9).alias("mean_pc"), F.round("std_pc", 9).alias("std_pc"))
+
+
+@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + 'SELECT "Method", na AS alice_num_recs, sum(dbo_time + lu_time) AS total_time FROM sweep GROUP BY "Method", na')
+def report_scalability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.scalability(_swept(spark, sf_dir).withColumnRenamed("na", "alice_num_recs"))
+
+
+@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + "SELECT round(corr(rr, pc), 6) AS correlation FROM sweep")
+def report_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.correlation(_swept(spark, sf_dir), "rr", "pc").select(F.round("correlation", 6).alias("correlation"))
+
+
 _SUBSETS = [c for n in (1, 2, 3) for c in combinations(("0,0:0,1:1,0", "1,0:1,1:1,2", "0,*"), n)]
 
 

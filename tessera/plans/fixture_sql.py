@@ -27,10 +27,10 @@ people AS (
 )"""
 
 
-def refs(n: int, name: str = "refs", table: str = "worded", where: str = "doc_id % 3 = 0") -> str:
+def refs(n: int, name: str = "refs", table: str = "worded", salt: str = "") -> str:
     return f"""{name} AS (
-    SELECT row_number() OVER (ORDER BY md5(key), key) - 1 AS pos, key AS ref FROM (
-        SELECT DISTINCT a1 || a2 AS key FROM {table} WHERE {where}) ORDER BY md5(key), key LIMIT {n}
+    SELECT row_number() OVER (ORDER BY md5('{salt}' || key), key) - 1 AS pos, key AS ref FROM (
+        SELECT DISTINCT a1 || a2 AS key FROM {table}) ORDER BY md5('{salt}' || key), key LIMIT {n}
 )"""
 
 

@@ -70,10 +70,11 @@ def sample_values(keys: DataFrame, n: int, seed: int = 0) -> list[str]:
     return list(out)
 
 
-def hashed_values(keys: DataFrame, n: int) -> DataFrame:
-    """``n`` distinct values of ``keys(key)`` by the order of their md5, as (pos, ref): a sample that SQL can repeat."""
-    first = keys.select("key").distinct().orderBy(F.md5("key"), "key").limit(n)
-    return first.select((F.row_number().over(Window.orderBy(F.md5("key"), "key")) - 1).alias("pos"), F.col("key").alias("ref"))
+def hashed_values(keys: DataFrame, n: int, salt: str = "") -> DataFrame:
+    """``n`` distinct values of ``keys(key)`` by the order of their salted md5, as (pos, ref): a sample that SQL can repeat."""
+    order = [F.md5(F.concat(F.lit(salt), F.col("key"))), F.col("key")]
+    first = keys.select("key").distinct().orderBy(*order).limit(n)
+    return first.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), F.col("key").alias("ref"))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +106,10 @@ def many_parties(spark: SparkSession, sf_dir: str, parties: int = 5) -> DataFram
 
 
 def reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of a third of the people, to draw reference values from."""
-    return people(spark, sf_dir).filter("doc_id % 3 = 0").select(key_of(["a1", "a2"]).alias("key"))
+    """Keys of all people, to draw reference values from."""
+    return people(spark, sf_dir).select(key_of(["a1", "a2"]).alias("key"))
 
 
-#: Fixture builders by mode: names of (alice, bob) file pairs, as ``<n>_<overlap>_overlap_<kind>``.
 def dataset_catalogue(mode: str, sizes: Sequence[int] = (4611, 46116, 461167), overlaps: Sequence[int] = (25, 50, 75)) -> list[tuple[str, str]]:
     """File pairs of an experiment mode: ex, no, mod, lno, lmod, nc, syn, syn_mod, nc_syn, nc_syn_mod."""
     kinds = {"ex": ("no_mod", sizes[:1], (25,)), "no": ("no_mod", sizes, overlaps), "mod": ("with_mod", sizes, overlaps), "lno": ("no_mod", sizes[-1:], overlaps), "lmod": ("with_mod", sizes[-1:], overlaps)}
