@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ def similarity(name: str) -> Similarity:
 
 def similarity_from_python(function: Callable[[str, str], float]) -> Similarity:
     """A Python function of two strings, run over Arrow batches: the slow way, where no column will do."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([function(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
