@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialise
@@ -69,11 +69,13 @@ def _interpolated(table: DataFrame, side: str, seen: DataFrame) -> DataFrame:
     n = len(ALPHABET)
     seen = seen.filter(F.col("side") == side).select("gram", "n")
     last = seen.groupBy((F.col("gram") % n).alias("z")).agg(F.sum("n").alias("n_z"))
+    every = Window.partitionBy()
+    last = seen.sparkSession.range(n).select(F.col("id").cast("int").alias("z")).join(F.broadcast(last), "z", "left").na.fill(0, ["n_z"])
+    last = last.withColumns({"n_all": F.sum("n_z").over(every), "t_all": F.count_if(F.col("n_z") > 0).over(every)})
     pair = seen.groupBy((F.col("gram") % (n * n)).alias("yz")).agg(F.sum("n").alias("n_yz"))
-    whole = last.agg(F.coalesce(F.sum("n_z"), F.lit(0)).alias("n_all"), F.count(F.lit(1)).alias("t_all")).withColumn("one", F.lit(1))
     after = pair.groupBy(F.expr(f"yz div {n}").alias("y")).agg(F.sum("n_yz").alias("n_y"), F.count(F.lit(1)).alias("t_y"))
     context = seen.groupBy(F.expr(f"gram div {n}").alias("xy")).agg(F.sum("n").alias("n_xy"), F.count(F.lit(1)).alias("t_xy"))
-    out = table.join(whole, "one")
+    out = table
     for part, key in ((last, "z"), (pair, "yz"), (after, "y"), (context, "xy"), (seen.withColumnRenamed("n", "n_xyz"), "gram")):
         out = out.join(F.broadcast(part), key, "left")
     out = out.na.fill(0)
@@ -93,7 +95,6 @@ def fit(training: DataFrame) -> DataFrame:
         F.expr(f"cast(id % {n * n} as int)").alias("yz"),
         F.expr(f"id div {n} % {n}").alias("y"),
         F.expr(f"id div {n}").alias("xy"),
-        F.lit(1).alias("one"),
     )
     for side in ("allow", "block"):
         table = _interpolated(table, side, seen)
@@ -120,12 +121,13 @@ def calibrate(scored: DataFrame) -> float:
     all_a, all_b = sum(r["a"] for r in bins), sum(r["b"] for r in bins)
     if not all_a or not all_b:
         return 0.0
-    best, at, a, b = -1.0, 0.0, 0, 0
+    best, at, a, b, before = -1.0, 0.0, 0, 0, None
     for r in bins:
         value = (all_a - a) / all_a + b / all_b
         if value > best:
-            best, at = value, r["step"] * STEP
-        a, b = a + r["a"], b + r["b"]
+            # between the scores on either side of the cut lies a gap, which is halved
+            best, at = value, STEP * (r["step"] if before is None else (before + 1 + r["step"]) / 2)
+        a, b, before = a + r["a"], b + r["b"], r["step"]
     return at
 
 
@@ -141,7 +143,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: Sequence[tuple[
     model = fit(training)
     texts = judged.select(text.alias("text"), "ruled").groupBy("text", "ruled").agg(F.count(F.lit(1)).alias("n"))
     texts = texts.select("text", "ruled", "n", _folded(F.col("text")).alias("chars"))
-    scores = materialise(score(texts.select("text", "chars").distinct(), model, "text"), "url-scores")
+    scores = materialise(score(texts.select("text", "chars"), model, "text"), "url-scores")
     known = texts.filter("ruled is not null").join(scores, "text").select("score", F.col("ruled").alias("side"))
     cut = calibrate(known)
     out = judged.withColumn("text", text).join(scores, "text", "left")
