@@ -2,9 +2,10 @@
 
 A text's features are the distinct hashed n-grams of its words (single words and pairs) and of their
 shapes (single shapes and pairs; a shape writes a run of capitals as X, of other letters as x, of
-digits as 9). An indicator is scaled by r = log of the ratio of its smoothed shares in both classes,
-the vector is scaled to length one, and a linear model with hinge loss is fitted by dual coordinate
-descent. Margins become probabilities by a logistic curve fitted to margins of rows left out.
+digits as 9), and the patterns AA, A.A and AAA of words that repeat at once. An indicator is scaled
+by r = log of the ratio of its smoothed shares in both classes, the vector is scaled to length one,
+and a linear model with hinge loss is fitted by dual coordinate descent. Margins become
+probabilities by a logistic curve fitted to margins of rows left out.
 
 The fit uses a bounded sample (``PER_CLASS`` labelled rows of each class, the first by a hash of
 their ids); the classes' true shares, counted over all labels, weigh the curve. Everything else sees
@@ -36,6 +37,9 @@ COST, EPOCHS, FOLDS = 1.0, 12, 3
 _RUNS = re.compile(r"[^\W\d_]+|\d+")
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=U64)
 
+#: Names of the word patterns AA, A.A and AAA.
+_REPEATS = np.arange(1, 4, dtype=U64) * _SALTS[0]
+
 
 def _shape(word: str) -> str:
     out = _RUNS.sub(lambda m: "9" if m[0][0].isdigit() else "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x", word)
@@ -68,6 +72,9 @@ class Features:
         word, shape = h[:, 0], h[:, 1]
         parts = [word * _SALTS[0], shape * _SALTS[1]]
         parts += [(x[:-1] * salt + x[1:]) * _SALTS[0] for x, salt in ((word, _SALTS[2]), (shape, _SALTS[3]))]
+        again = [word[k:] == word[:-k] for k in (1, 2)]
+        repeats = [again[0].any(), again[1].any(), len(word) > 2 and (again[0][1:] & again[0][:-1]).any()]
+        parts.append(_REPEATS[repeats])
         return np.unique(np.concatenate(parts) >> self.shift).astype(np.int64)
 
 
