@@ -1,6 +1,6 @@
 """MinHash near-dedup with tensored banding, and exact verification.
 
-A document's set holds its distinct 4-word shingles. Two collections of ``SIDE`` sub-keys, each of
+A document's set holds its distinct shingles of five words (a parameter). Two collections of ``SIDE`` sub-keys, each of
 ``ROWS`` minhashes, are computed per set; every pair of a first and a second sub-key makes the key of
 one table, so 2 * SIDE sub-keys serve SIDE * SIDE tables. At a Jaccard similarity of 0.8 two sets
 meet in some table with probability (1 - (1 - 0.8**2)**10)**2 > 0.9999.
@@ -13,9 +13,9 @@ meet in some table with probability (1 - (1 - 0.8**2)**10)**2 > 0.9999.
    block of a large cluster; what is then not in the cluster's main component is compared with all
    its blocks. Workers search breadth-first and hand on a spanning forest, never all pairs.
 
-Defined cases: a null or blank text has an empty set and links with nothing; with fewer than four
-words the whole sequence is the one shingle; rows that share an id are one document; a row whose id
-is null has no component and is kept; other columns are ignored.
+Defined cases: a null or blank text has an empty set and links with nothing; with fewer words than
+a shingle has the whole sequence is the one shingle; rows that share an id are one document; a row
+whose id is null has no component and is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words
 from tessera.operators.components import connected_components
 from tessera.session import materialise
 
-SHINGLE = 4
+SHINGLE = 5
 SIDE, ROWS = 10, 2
 #: Links need ``PARTS[1] * intersection >= PARTS[0] * union``.
 PARTS = (80, 100)

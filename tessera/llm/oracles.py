@@ -66,6 +66,57 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM docs d LEFT JOIN kept USING (doc_id)
 """
 
+_ALPHABET = "^$*abcdefghijklmnopqrstuvwxyz0123456789./-_=&?%:#~+,"
+_N = len(_ALPHABET)
+
+
+def _model(side: str) -> str:
+    """P(third | first, second) of one side for every code, Witten-Bell interpolated down to order 0."""
+    return f"""seen_{side} AS (SELECT gram, count(*)::DOUBLE AS n FROM grams WHERE ruled = '{side}' GROUP BY gram),
+z_{side} AS (SELECT z, coalesce(sum(n), 0) AS n_z FROM range({_N}) t(z) LEFT JOIN seen_{side} ON gram % {_N} = z GROUP BY z),
+all_{side} AS (SELECT sum(n_z) AS n_all, count(*) FILTER (n_z > 0) AS t_all FROM z_{side}),
+yz_{side} AS (SELECT gram % {_N * _N} AS yz, sum(n) AS n_yz FROM seen_{side} GROUP BY 1),
+y_{side} AS (SELECT yz // {_N} AS y, sum(n_yz) AS n_y, count(*) AS t_y FROM yz_{side} GROUP BY 1),
+xy_{side} AS (SELECT gram // {_N} AS xy, sum(n) AS n_xy, count(*) AS t_xy FROM seen_{side} GROUP BY 1),
+p_{side} AS (
+    SELECT id AS gram, (coalesce(n, 0) + (coalesce(t_xy, 0) + 1) * (coalesce(n_yz, 0) + (coalesce(t_y, 0) + 1) * (n_z + t_all / {_N}.0::DOUBLE + 1.0::DOUBLE / {_N}) / (n_all + t_all + 1))
+        / (coalesce(n_y, 0) + coalesce(t_y, 0) + 1)) / (coalesce(n_xy, 0) + coalesce(t_xy, 0) + 1) AS p
+    FROM range({_N ** 3}) t(id) JOIN z_{side} ON z = id % {_N} CROSS JOIN all_{side} LEFT JOIN yz_{side} ON yz = id % {_N * _N} LEFT JOIN y_{side} ON y = id // {_N} % {_N}
+    LEFT JOIN xy_{side} ON xy = id // {_N} LEFT JOIN seen_{side} s ON s.gram = id)"""
+
+
+_URL = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
+_OP4 = f"""
+WITH parts AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {_UPPER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path FROM pages
+), judged AS (
+    SELECT *, CASE WHEN {_FITS.format("example.net", "/en/")} THEN 'example.net/en/' WHEN {_FITS.format("example.com", "/de/")} THEN 'example.com/de/'
+        WHEN {_FITS.format("org", "/fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "/")} THEN 'net/' END AS rule FROM parts
+), ruled AS (
+    SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+        '^^' || regexp_replace(translate(host || path, {_UPPER}), '[^a-z0-9./\\-_=&?%:#~+,]', '*', 'g') || '$' AS chars FROM judged
+), codes AS (
+    SELECT page_id, ruled, list_transform(range(1, length(chars) - 1), lambda i: ((instr('{_ALPHABET}', substr(chars, i, 1)) - 1) * {_N}
+        + instr('{_ALPHABET}', substr(chars, i + 1, 1)) - 1) * {_N} + instr('{_ALPHABET}', substr(chars, i + 2, 1)) - 1) AS codes FROM ruled
+), grams AS (SELECT page_id, ruled, unnest(codes) AS gram FROM codes), {_model("allow")}, {_model("block")},
+model AS (SELECT a.gram, round(ln(a.p) - ln(b.p), 9) AS ratio FROM p_allow a JOIN p_block b USING (gram)),
+scores AS (SELECT page_id, round(sum(ratio) / count(*), 6) AS score FROM grams JOIN model USING (gram) GROUP BY page_id),
+bins AS (
+    SELECT greatest(least(floor(score / 0.01::DOUBLE), 2000), -2000)::BIGINT AS step, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
+    FROM scores JOIN ruled USING (page_id) WHERE ruled IS NOT NULL GROUP BY 1
+), sides AS (
+    SELECT step, lag(step) OVER w AS before, coalesce(sum(a) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS a,
+        coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS b, sum(a) OVER ()::DOUBLE AS all_a, sum(b) OVER ()::DOUBLE AS all_b FROM bins WINDOW w AS (ORDER BY step)
+), cut AS (
+    SELECT coalesce(first(CASE WHEN all_a = 0 OR all_b = 0 THEN 0.0 WHEN before IS NULL THEN 0.01::DOUBLE * step ELSE 0.01::DOUBLE * ((before + 1 + step) / 2.0::DOUBLE) END
+        ORDER BY (all_a - a) / all_a + b / all_b DESC, step), 0.0) AS cut FROM sides
+)
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN score >= cut THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled LEFT JOIN scores USING (page_id), cut
+"""
+
 _OP7 = """
 WITH RECURSIVE fine AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -103,6 +154,7 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": _OP1,
     "op2_decontaminate": _OP2,
     "op3_substring_dedup": _OP3,
+    "op4_url_filter": _OP4,
     "op7_embedding_dedup": _OP7,
     "op9_near_duplicates": _OP9,
 }

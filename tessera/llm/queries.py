@@ -41,7 +41,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_table(spark, sf_dir, "pages"))
+    return urls.judge_urls(_table(spark, sf_dir, "pages")).drop("score")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

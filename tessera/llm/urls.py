@@ -111,12 +111,12 @@ def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The threshold of best balanced accuracy over rows (score, side); scores below it are rejected.
+    """The threshold of best balanced accuracy over rows (score, side, n); scores below it are rejected.
 
     The histogram has at most 4,001 steps, so sorting it in one place is bounded.
     """
     step = F.greatest(F.least(F.floor(F.col("score") / STEP), F.lit(2000)), F.lit(-2000)).cast("long")
-    bins = scored.groupBy(step.alias("step")).agg(F.count_if(F.col("side") == "allow").alias("a"), F.count_if(F.col("side") == "block").alias("b")).collect()
+    bins = scored.groupBy(step.alias("step")).agg(F.sum(F.when(F.col("side") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("side") == "block", F.col("n")).otherwise(0)).alias("b")).collect()
     bins.sort(key=lambda r: r["step"])
     all_a, all_b = sum(r["a"] for r in bins), sum(r["b"] for r in bins)
     if not all_a or not all_b:
@@ -144,7 +144,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: Sequence[tuple[
     texts = judged.select(text.alias("text"), "ruled").groupBy("text", "ruled").agg(F.count(F.lit(1)).alias("n"))
     texts = texts.select("text", "ruled", "n", _folded(F.col("text")).alias("chars"))
     scores = materialise(score(texts.select("text", "chars"), model, "text"), "url-scores")
-    known = texts.filter("ruled is not null").join(scores, "text").select("score", F.col("ruled").alias("side"))
+    known = texts.filter("ruled is not null").join(scores, "text").select("score", F.col("ruled").alias("side"), "n")
     cut = calibrate(known)
     out = judged.withColumn("text", text).join(scores, "text", "left")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block")))

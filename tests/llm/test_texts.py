@@ -91,7 +91,7 @@ def test_drop_repeats_keeps_columns_and_clean_rows(spark):
     assert substring.drop_repeats(docs.limit(0)).count() == 0
 
 
-def brute_components(rows, shingle=4):
+def brute_components(rows, shingle=5):
     sets, nodes = {}, {}
     out = []
     for d, t in rows:
@@ -116,10 +116,11 @@ def brute_components(rows, shingle=4):
     return sorted(((d, len(s), find(d) if d is not None else None, d is None or find(d) == d) for d, s in out), key=str)
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_near_duplicates_match_brute_force(spark, shingle):
     rows = documents()
-    got = sorted((tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect()), key=str)
-    assert got == brute_components(rows)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(frame(spark, rows), shingle=shingle).collect()), key=str)
+    assert got == brute_components(rows, shingle)
 
 
 @pytest.mark.parametrize("block", [minhash.BLOCK_BYTES, 4000])
