@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import NORMAL_WORD, chunks
+from tessera.llm.text import NORMAL_WORD, chunks, trimmed
 from tessera.session import materialise
 
 WINDOW = 13
@@ -151,14 +151,19 @@ def _cover(out: list[int], start: int, end: int) -> None:
     out += (start, end)
 
 
-def _shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in lists of at most ``limit`` bytes of text each (or of one longer item).
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
 
-    Their sizes are checked first; only one shard is fetched at a time.
-    """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // limit))
+
+def _shard_count(benchmark: DataFrame, limit: int) -> int:
+    """How many shards of about ``limit`` bytes the items need."""
+    total = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return max(1, -(-total // limit))
+
+
+def _shards(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in ``n`` lists, of which one at a time is fetched."""
+    items = _items(benchmark)
     for k in range(n):
         rows = items if n == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
         yield sorted((r["name"], r["text"].encode()) for r in rows.toLocalIterator())
@@ -168,19 +173,23 @@ def _shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]
 _built: dict[str, Automaton] = {}
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_spans`` (word spans hit, flat) and ``_items`` (ids that occur)."""
+def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, cut: bool = False) -> DataFrame:
+    """``docs`` with ``_n_words``, ``_spans`` (word spans hit, flat) and ``_items`` (ids that occur).
+
+    With ``cut`` the last pass also takes the hit spans out of the text.
+    """
     spark = docs.sparkSession
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     schema = out.schema
-    for k, shard in enumerate(_shards(benchmark, shard_bytes)):
+    n = _shard_count(benchmark, shard_bytes)
+    for k, shard in enumerate(_shards(benchmark, n)):
         if k:
             out = materialise(out, "decontam")
-        out = _one_pass(spark, out, shard, text_col, window, schema)
+        out = _one_pass(spark, out, shard, text_col, window, schema, cut and k == n - 1)
     return out
 
 
-def _one_pass(spark, rows: DataFrame, shard: list[tuple[str, bytes]], text_col: str, window: int, schema: T.StructType) -> DataFrame:
+def _one_pass(spark, rows: DataFrame, shard: list[tuple[str, bytes]], text_col: str, window: int, schema: T.StructType, cut: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast((hashlib.sha256(repr(shard).encode()).hexdigest(), shard))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +208,13 @@ def _one_pass(spark, rows: DataFrame, shard: list[tuple[str, bytes]], text_col:
                 n_words.append(len(words))
                 spans.append(_union(old, hit) if old else hit)
                 found.append(sorted(who.union(had)))
-            made = {"_n_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(found, pa.list_(pa.string()))}
+            column = batch.column(names.index(text_col))
+            if cut and any(spans):
+                column = pa.array([cut_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.binary()).cast(column.type)
+            made = {text_col: column, "_n_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _union(a: list[int], b: list[int]) -> list[int]:
@@ -250,25 +262,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     Columns are those of ``docs``; a column ``n_chars`` follows the text.
     """
     columns = docs.columns
-    marked = mark(docs, benchmark, text_col, window)
+    marked = mark(docs, benchmark, text_col, window, cut=True)
     hit = _n_hit()
-    kept = marked.filter((hit == 0) | (hit * share < F.col("_n_words")))
-    schema = kept.schema
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            spans = batch.column(names.index("_spans"))
-            k = names.index(text_col)
-            column = batch.column(k)
-            arrays = list(batch.columns)
-            flat = spans.to_pylist()
-            if any(flat):
-                texts = column.cast(pa.binary()).to_pylist()
-                arrays[k] = pa.array([cut_spans(t, s) if s else t for t, s in zip(texts, flat, strict=True)], pa.binary()).cast(column.type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    out = kept.mapInArrow(run, schema)
+    out = marked.filter((hit == 0) | (hit * share < F.col("_n_words")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words
+from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, trimmed
 from tessera.operators.components import connected_components
 from tessera.session import materialise
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "size", "lo", "hi", "a", "b"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, size long, lo long, hi long, a array<long>, b array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, size long, lo long, hi long, a array<long>, b array<long>")
 
 
 def _clusters(classes: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ NORMAL_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words of [^\x20\x09-\x0D]+, on UTF-8 bytes.
 SPACED_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text that are worked on at once in a worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -35,7 +38,7 @@ def spaced_words(text: bytes) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, remembered up to ``limit`` words (a cache: what it forgets is hashed again)."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 100_000) -> None:
         self.limit, self.known = limit, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -63,8 +66,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def as_bytes(column: pa.Array) -> pa.Array:
-    return column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
+def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its free memory back: it stays alive for other stages."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
