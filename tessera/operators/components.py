@@ -13,16 +13,22 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"] or 0
 
 
+def _written(low: DataFrame) -> DataFrame:
+    """A row per node, written first: joined straight from its aggregation it would pin all edges of
+    a node to one task, while two plain shuffles let adaptive execution split a hub's edges."""
+    return materialise(low, "cc-low")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.select("v", "w").unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w")))
-    low = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"))
+    low = _written(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m")))
     return both.filter("w > v").join(low, "v").select(F.col("w").alias("v"), F.col("m").alias("w"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours to the smallest of them. Edges run from v down to w."""
-    low = edges.groupBy("v").agg(F.min("w").alias("m"))
+    low = _written(edges.groupBy("v").agg(F.min("w").alias("m")))
     moved = edges.join(low, "v").filter("w > m").select(F.col("w").alias("v"), F.col("m").alias("w"))
     return moved.unionByName(low.select("v", F.col("m").alias("w"))).distinct()
 
