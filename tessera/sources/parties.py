@@ -21,7 +21,7 @@ def load_party(spark: SparkSession, path: str, columns: Sequence[str], rec_id: s
     raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     if header:
         first = raw.groupBy(F.input_file_name().alias("_file")).agg(F.min("_at").alias("_at"))
-        raw = raw.join(F.broadcast(first.select("_at")), "_at", "left_anti")
+        raw = raw.join(first.select("_at"), "_at", "left_anti")
     cells = F.split(F.col("value"), ",")
     out = raw.select("_at", *[clean_cell(F.get(cells, F.lit(k))).alias(c) for k, c in enumerate(columns)])
     if rec_id is None:
@@ -37,7 +37,7 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return cut.withColumn("_k", inner).join(F.broadcast(before), "_part").withColumn("rec_id", (F.col("_before") + F.col("_k")).cast("string")).drop("_part", "_k", "_before")
+    return cut.withColumn("_k", inner).join(before, "_part").withColumn("rec_id", (F.col("_before") + F.col("_k")).cast("string")).drop("_part", "_k", "_before")
 
 
 def repeated_ids(party: DataFrame) -> DataFrame:
