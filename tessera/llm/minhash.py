@@ -98,11 +98,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 def _clusters(classes: DataFrame) -> DataFrame:
     """(node, cluster) of the classes that share a table key with another."""
     firsts = materialise(classes.select("rep", F.posexplode("a").alias("i", "key")), "first-keys")
-    shared = firsts.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "key")
+    shared = materialise(firsts.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "key"), "shared-keys")
     live = firsts.join(shared, ["i", "key"], "left_semi")
     tables = live.join(classes.select("rep", "b"), "rep").select("rep", "i", "key", F.posexplode("b").alias("j", "other"))
     tables = materialise(tables.select("rep", F.xxhash64("i", "j", "key", "other").alias("key")), "tables")
-    centers = tables.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last")
+    centers = materialise(tables.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last"), "centers")
     pointers = tables.join(centers, "key").filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
     return connected_components(pointers).withColumnRenamed("component", "cluster")
 
