@@ -186,10 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
     sample = [known.filter(F.col("quality") == c).distinct().orderBy(*order).limit(per_class) for c in (0, 1)]
     # at most 2 * per_class ids and labels, hence the broadcast
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
-    rows = sorted(((r["doc_id"], r["quality"], r["features"]) for r in _features_frame(chosen).collect()), key=lambda r: r[:2])
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(rows))
-    return train([np.array(rows[k][2], np.int64) for k in order], np.array([rows[k][1] == 1 for k in order], bool), float(share))
+    found = _features_frame(chosen).toArrow()
+    ids, good, features = found.column("doc_id").to_numpy(), found.column("quality").to_numpy() == 1, found.column("features").combine_chunks()
+    at, values = features.offsets.to_numpy(), features.values.to_numpy()
+    rows = np.random.default_rng(11).permutation(len(ids))
+    rows = np.lexsort((good, ids))[rows]
+    return train([values[at[k] : at[k + 1]] for k in rows], good[rows], float(share))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
