@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.text import NORMAL_WORD, chunks, trimmed
+from tessera.llm.text import NORMAL_WORD, chunks, walk
 from tessera.session import materialise
 
 WINDOW = 13
@@ -214,7 +214,7 @@ def _one_pass(spark, rows: DataFrame, shard: list[tuple[str, bytes]], text_col:
             made = {text_col: column, "_n_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([made.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
 
-    return rows.mapInArrow(trimmed(run), schema)
+    return walk(rows, run, schema)
 
 
 def _union(a: list[int], b: list[int]) -> list[int]:

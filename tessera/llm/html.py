@@ -20,7 +20,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.text import chunks, trimmed
+from tessera.llm.text import chunks, walk
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template")}
@@ -272,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             texts = [page_text(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return pages.select(id_col, html_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, text string")
+    return walk(pages.select(id_col, html_col), run, f"`{id_col}` {kind}, text string")

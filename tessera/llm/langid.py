@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import chunks, held_out, trimmed
+from tessera.llm.text import chunks, held_out, walk
 from tessera.session import materialise
 
 LONGEST = 5
@@ -110,7 +110,7 @@ def _count(docs: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(trimmed(run), "lang string, kind int, gram string, n long")
+    return walk(docs.select("lang", "text"), run, "lang string, kind int, gram string, n long")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep_words: int = KEEP_WORDS, keep_grams: int = KEEP_GRAMS) -> Model:
@@ -158,4 +158,4 @@ def predict(docs: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return walk(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, trimmed
+from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, walk
 from tessera.operators.components import connected_components
 from tessera.session import materialise
 
@@ -92,12 +92,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "size", "lo", "hi", "a", "b"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, size long, lo long, hi long, a array<long>, b array<long>")
+    return walk(rows, run, "doc_id long, n_shingles long, size long, lo long, hi long, a array<long>, b array<long>")
 
 
 def _clusters(classes: DataFrame) -> DataFrame:
     """(node, cluster) of the classes that share a table key with another."""
     firsts = materialise(classes.select("rep", F.posexplode("a").alias("i", "key")), "first-keys")
+    # aggregates are written before they are joined back: only a join of two plain shuffles can have
+    # its hot keys split at run time
     shared = materialise(firsts.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "key"), "shared-keys")
     live = firsts.join(shared, ["i", "key"], "left_semi")
     tables = live.join(classes.select("rep", "b"), "rep").select("rep", "i", "key", F.posexplode("b").alias("j", "other"))

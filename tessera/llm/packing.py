@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import chunks, trimmed
+from tessera.llm.text import chunks, walk
 from tessera.session import materialise
 
 CAPACITY = 1024
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), PIECE)
+    return walk(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECE)
 
 
 def best_fit(totals: list[int], capacity: int) -> list[list[int]]:
@@ -143,7 +143,7 @@ def _round(items: DataFrame, number: int, last: bool, capacity: int, hand_on: in
                 names=["round", "sequence_id", "total", "done", "members"],
             )
 
-    return items.select("total", "members").mapInArrow(trimmed(run), BIN)
+    return walk(items.select("total", "members"), run, BIN)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, first_round: int = FIRST_ROUND, hand_on: int = HAND_ON) -> DataFrame:

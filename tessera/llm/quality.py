@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, chunks, held_out, trimmed
+from tessera.llm.text import U64, chunks, held_out, walk
 
 BITS = 18
 PER_CLASS = 2500
@@ -174,7 +174,7 @@ def _features_frame(docs: DataFrame) -> DataFrame:
             rows = [features.of(t or "").astype(np.int32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "quality", "features"])
 
-    return docs.select("doc_id", "quality", "text").mapInArrow(trimmed(run), "doc_id long, quality int, features array<int>")
+    return walk(docs.select("doc_id", "quality", "text"), run, "doc_id long, quality int, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_s
             scores = [m.score(features.of(t or "")) for t in batch.column(names.index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()) if n == name else batch.column(k) for k, n in enumerate(names)], names=names)
 
-    return out.mapInArrow(trimmed(run), out.schema)
+    return walk(out, run, out.schema)
 
 
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

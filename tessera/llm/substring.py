@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, trimmed
+from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, walk
 from tessera.session import materialise
 
 WINDOW = 50
@@ -179,7 +179,7 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(trimmed(run), f"doc_id long, mark int, n_words long, whole binary, stretches {STRETCHES}")
+    return walk(rows, run, f"doc_id long, mark int, n_words long, whole binary, stretches {STRETCHES}")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                     [pa.array(named), pa.array(np.full(len(starts), doc_id, np.int64)), pa.array(np.full(len(starts), mark, np.int32)), pa.array(starts, pa.int32())], names=["name", "doc_id", "mark", "start"]
                 )
 
-    return rows.select("doc_id", "mark", "text", "parts").mapInArrow(trimmed(run), "name long, doc_id long, mark int, start int")
+    return walk(rows.select("doc_id", "mark", "text", "parts"), run, "name long, doc_id long, mark int, start int")
 
 
 def removed_words(n_words: int, spans: list[dict]) -> np.ndarray:
@@ -224,7 +224,7 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "mark", "n_removed", "kept", "kept_text"]
             )
 
-    return rows.select("doc_id", "mark", "text", "spans").mapInArrow(trimmed(run), "doc_id long, mark int, n_removed long, kept binary, kept_text string")
+    return walk(rows.select("doc_id", "mark", "text", "spans"), run, "doc_id long, mark int, n_removed long, kept binary, kept_text string")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> tuple[DataFrame, DataFrame]:

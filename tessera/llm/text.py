@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z, on UTF-8 bytes: digits, letters, anything not ASCII.
 NORMAL_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -21,6 +22,9 @@ NORMAL_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 SPACED_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text that are worked on at once in a worker.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a worker; Spark's own default allows 16 times as many.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 U64 = np.uint64
 
@@ -66,10 +70,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker gives its free memory back: it stays alive for other stages."""
+def walk(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in bounded memory.
 
-    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows travel in batches of at most ``BATCH_BYTES`` (unless the session has a setting of its own),
+    and a worker gives its free memory back after a task: it stays alive for other stages.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
@@ -78,7 +89,7 @@ def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return wrapped
+    return df.mapInArrow(trimmed, schema)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
