@@ -27,6 +27,9 @@ from tessera.session import materialise
 
 LONGEST = 5
 PER_LANGUAGE = 3000
+#: Languages that are learned, the most frequent first.
+MOST_LANGUAGES = 300
+HASH_RANGE = 1 << 24
 KEEP_WORDS, KEEP_GRAMS = 60_000, 120_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
@@ -115,6 +118,10 @@ def _count(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, keep_words: int = KEEP_WORDS, keep_grams: int = KEEP_GRAMS) -> Model:
     ids = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).filter("_id is not null and _lang is not null").filter(~held_out(F.col("_id")))
+    # a share of each language's ids, by their hash, that leaves about twice the wanted number for the ranking
+    found = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect()
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["_lang"], min(HASH_RANGE, -(-2 * per_language * HASH_RANGE // r["n"])))]) if found else F.create_map().cast("map<string,int>")
+    ids = ids.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(HASH_RANGE)) < F.try_element_at(share, F.col("_lang")))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     # at most per_language ids for each language, hence the broadcast
     chosen = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("_id", "_lang").distinct()
