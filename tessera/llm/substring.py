@@ -232,9 +232,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parsed = materialise(_parsed(docs, id_col, text_col), "parsed")
     row = ["doc_id", "mark"]
     stretches = parsed.filter("doc_id is not null").select(*row, F.explode("stretches").alias("x")).select(*row, "x.*")
-    shared = stretches.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("core")
+    # aggregates are written before they are joined back: only a join of two plain shuffles can have
+    # its hot keys split at run time
+    shared = materialise(stretches.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("core"), "shared")
     live = materialise(stretches.join(shared, "core", "left_semi"), "live")
-    named = live.groupBy("core", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    named = materialise(live.groupBy("core", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "named")
     again = live.join(named.filter("low < high"), ["core", "body"]).filter("doc_id > low").select(*row, "start", "n")
     several = named.groupBy("core").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("core")
     firsts = named.join(several, "core", "left_semi").select("core", "body", F.col("low").alias("doc_id"))
@@ -242,7 +244,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(live.select(*row).distinct(), row, "left_semi"), "repeating")
     windows = materialise(_windows(texts.join(apart, row)), "windows")
-    least = windows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    least = materialise(windows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "least")
     found = windows.join(least, "name").filter("doc_id > low").select(*row, "start", F.lit(1).alias("n"))
     spans = again.unionByName(found).groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     cut = materialise(_cut(texts.join(spans, row), with_text), "cut")
