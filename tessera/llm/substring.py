@@ -237,16 +237,21 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialise(stretches.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("core"), "shared")
     live = materialise(stretches.join(shared, "core", "left_semi"), "live")
     named = materialise(live.groupBy("core", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "named")
-    again = live.join(named.filter("low < high"), ["core", "body"]).filter("doc_id > low").select(*row, "start", "n")
+    # of equal stretches those in the smallest document stay; joining these, and not the many others,
+    # a hot passage makes few rows
+    stay = materialise(live.join(named.select("core", "body", F.col("low").alias("doc_id")), ["core", "body", "doc_id"], "left_semi"), "stay")
     several = named.groupBy("core").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("core")
-    firsts = named.join(several, "core", "left_semi").select("core", "body", F.col("low").alias("doc_id"))
-    apart = live.join(firsts, ["core", "body", "doc_id"], "left_semi").groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    apart = stay.join(several, "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(live.select(*row).distinct(), row, "left_semi"), "repeating")
     windows = materialise(_windows(texts.join(apart, row)), "windows")
     least = materialise(windows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "least")
     found = windows.join(least, "name").filter("doc_id > low").select(*row, "start", F.lit(1).alias("n"))
-    spans = again.unionByName(found).groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    kinds = [df.select(*row, "start", "n", F.lit(k).alias("kind")) for k, df in enumerate((live, stay, found))]
+    place = F.struct("start", "n")
+    of = [F.collect_set(F.when(F.col("kind") == k, place)).alias(f"of{k}") for k in range(3)]
+    spans = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy(*row).agg(*of)
+    spans = spans.select(*row, F.concat(F.array_except("of0", "of1"), "of2").alias("spans")).filter(F.size("spans") > 0)
     cut = materialise(_cut(texts.join(spans, row), with_text), "cut")
     return parsed.select(*row, "n_words", "whole"), cut.dropDuplicates(row)
 
