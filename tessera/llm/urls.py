@@ -8,8 +8,8 @@ the threshold is calibrated on them: the score, in steps of 0.01, with the best
 Characters are folded to a fixed alphabet, so both models together are one dense table of
 ``len(ALPHABET) ** 3`` rows whatever the corpus: that bound is why it may be broadcast.
 
-Defined cases: a null url or one without ``://`` has empty host and path, matches no rule and is
-scored as the empty string; with no training row of one class every score is that of a uniform
+Defined cases: a null url or one without ``://`` has empty host and path and matches no rule; the
+models read the whole URL, query and fragment too, and a null as the empty string; with no training row of one class every score is that of a uniform
 model; repeated rows are judged alike; other columns of the input are ignored.
 """
 
@@ -134,11 +134,11 @@ def calibrate(scored: DataFrame) -> float:
 def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """id, host, path, rule, verdict and score of every row of ``pages``.
 
-    Distinct host and path strings are scored once and joined back, so a URL that a third of the
-    pages share costs one score.
+    Distinct URLs are scored once, in full, and joined back, so a URL that a third of the pages share
+    costs one score. Host and path serve the rules only.
     """
-    judged = with_rules(pages.select(id_col, "url"), rules).drop("url")
-    text = F.concat("host", "path")
+    judged = with_rules(pages.select(id_col, "url"), rules)
+    text = F.coalesce("url", F.lit(""))
     training = judged.filter("ruled is not null").select(_folded(text).alias("chars"), F.col("ruled").alias("side"))
     model = fit(training)
     texts = judged.select(text.alias("text"), "ruled").groupBy("text", "ruled").agg(F.count(F.lit(1)).alias("n"))

@@ -3,13 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 
-from tessera.llm import chat, embed, html, langid, quality, urls  # noqa: E402
+from tessera.llm import chat, embed, html, langid, oracles, quality, urls  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,6 +81,26 @@ def test_url_model_separates(spark):
     assert right >= 95
 
 
+def test_url_models_read_the_whole_url(spark):
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    good, bad = [f"http://a.org/fr/?q={word('abcd')}" for _ in range(80)], [f"http://a.net/?q={word('wxyz')}" for _ in range(80)]
+    free = [(f.format(word(x)), v) for f in ("http://h.com/p?q={}", "http://h.com/p#{}", "{}") for x, v in (("abcd", "allow"), ("wxyz", "block"))]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate([*good, *bad, *[u for u, _ in free]])), "page_id long, url string"))
+    got = {r["page_id"]: r for r in got.collect()}
+    assert [got[160 + k]["verdict"] for k in range(len(free))] == [v for _, v in free]
+    assert len({got[160 + k]["score"] for k in range(len(free))}) == len(free)
+
+
+def test_url_verdicts_equal_sql_over_the_whole_url(spark):
+    # the registered SQL scores host and path; here it reads the url
+    sql = oracles.ORACLES["op4_url_filter"].replace("SELECT page_id, translate(", "SELECT page_id, url, translate(").replace("translate(host || path,", "translate(coalesce(url, ''),")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    got = urls.judge_urls(spark.read.parquet(f"{SF}/pages.parquet")).drop("score").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(sql).fetchall()))
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(2001, None, "en"), (2002, "", "en"), (2003, "12 -- !!", "en"), (2004, "the " * 20_000, None), (None, "le les des", "fr")], "doc_id long, text string, lang string")
