@@ -4,10 +4,11 @@ A tolerant scanner feeds a tree builder that supplies implied end tags (paragrap
 cells and rows, options) and ignores stray ones. Hidden subtrees (scripts, styles, templates, hidden
 or aria-hidden elements, ``display:none``) are dropped. The renderer collapses white space, sets
 blocks apart by a newline and paragraph-like ones by a blank line, marks list items, keeps
-preformatted text, and pads the cells of a table's columns to one width.
+preformatted text, and pads the cells of a table's columns to one width. What a table holds outside
+its cells stands on lines of its own, between the rows where it was found.
 
-Defined cases: null html gives null text; an empty page an empty text; unclosed or unopened tags,
-stray ``<`` and unknown entities stand as text; deep nesting is walked without recursion and flattened
+Defined cases: null html gives null text; an empty page an empty text; an open head ends at the first
+tag or text that doesn't belong in it; unclosed or unopened tags, stray ``<`` and unknown entities stand as text; deep nesting is walked without recursion and flattened
 beyond ``DEEPEST`` levels; repeated rows are rendered alike; other columns are ignored.
 """
 
@@ -32,6 +33,8 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER_SHOWN = frozenset("head script style template noscript title iframe object svg canvas datalist select audio video".split())
 BLOCKS = frozenset("address article aside body center dd details div dl dt fieldset figcaption figure footer form header hgroup html legend li main nav ol section summary table tr ul".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 SPACED = frozenset("blockquote h1 h2 h3 h4 h5 h6 hr p pre".split())
 #: For a start tag: the open elements it ends, and those that it doesn't look past.
 _CLOSERS = {
@@ -65,6 +68,8 @@ def parse(html: str) -> Node:
     stack, hidden, at = [root], 0, 0
 
     def text(s: str) -> None:
+        if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+            close_to(len(stack) - 1)
         if s and not hidden:
             stack[-1].children.append(unescape(s) if "&" in s else s)
 
@@ -105,6 +110,11 @@ def parse(html: str) -> Node:
             close_to(d)
         if tag == "body" and (d := find({"head"}, frozenset())):
             close_to(d)
+        if stack[-1].tag == "head":
+            if tag in ("head", "html"):
+                continue
+            if tag not in IN_HEAD:
+                close_to(len(stack) - 1)
         if tag in VOID:
             if not hidden:
                 stack[-1].children.append(Node(tag))
@@ -166,29 +176,83 @@ class _Out:
         return "".join(self.parts)
 
 
-def _rows(table: Node) -> list[list[Node]]:
-    """Cells by row, of the table itself and not of tables within it."""
-    rows: list[list[Node]] = []
-    waiting: list[Node | str] = list(reversed(table.children))
+def _parts(table: Node) -> list[tuple[bool, list]]:
+    """In order, (True, cells) of each row of the table itself, and (False, nodes) of what stands outside cells."""
+    order: list[tuple[Node, Node]] = []
+    seen = [(table, table)]
+    while seen:
+        n, parent = seen.pop()
+        order.append((n, parent))
+        if n is table or n.tag not in ("table", "td", "th"):
+            seen += [(c, n) for c in n.children if isinstance(c, Node)]
+    holders: set[Node] = set()
+    for n, parent in reversed(order):
+        if n.tag in ("tr", "td", "th") or n in holders:
+            holders.add(parent)
+    parts: list[tuple[bool, list]] = []
+
+    def place(row: list[Node] | None) -> int:
+        """What a row holds before its first cell stands before the row."""
+        at = len(parts)
+        if row is not None and not row:
+            at -= 1
+            while parts[at][1] is not row:
+                at -= 1
+        return at
+
+    def stray(n: Node | str, row: list[Node] | None) -> None:
+        at = place(row)
+        if not at or parts[at - 1][0]:
+            parts.insert(at, (False, []))
+            at += 1
+        parts[at - 1][1].append(n)
+
+    #: nodes, each with the row that it is in; no node: the end of a block
+    waiting: list = [(c, None) for c in reversed(table.children) if isinstance(c, str) or c.tag != "caption"]
     while waiting:
-        n = waiting.pop()
-        if isinstance(n, str):
-            continue
-        if n.tag == "tr":
-            rows.append([c for c in n.children if isinstance(c, Node) and c.tag in ("td", "th")])
+        n, row = waiting.pop()
+        if n is None:
+            parts.insert(place(row), (False, []))
+        elif isinstance(n, str):
+            stray(n, row)
+        elif n.tag == "tr":
+            cells: list[Node] = []
+            parts += [(False, []), (True, cells)]
+            waiting.append((None, cells))
+            waiting += [(c, cells) for c in reversed(n.children)]
         elif n.tag in ("td", "th"):
-            rows.append([n])
-        elif n.tag != "table":
-            waiting += reversed(n.children)
-    return [r for r in rows if r]
+            if row is None:
+                parts.append((True, [n]))
+            else:
+                row.append(n)
+        elif n in holders and n.tag != "table":
+            if n.tag in _ENDS_P:
+                parts.insert(place(row), (False, []))
+                waiting.append((None, row))
+            waiting += [(c, row) for c in reversed(n.children)]
+        else:
+            stray(n, row)
+    return parts
 
 
 def _table(node: Node, out: _Out, level: int) -> None:
-    grid = [[_SPACE.sub(" ", render(c, level + 1)) for c in row] for row in _rows(node)]
+    parts: list[tuple[bool, list[str]]] = []
+    for row, held in _parts(node):
+        if row:
+            parts.append((True, [_SPACE.sub(" ", render(c, level + 1)) for c in held]))
+        elif held:
+            outside = Node("div")
+            outside.children = held
+            parts.append((False, [render(outside, level + 1)]))
+    grid = [cells for row, cells in parts if row]
     widths = [max((len(r[k]) for r in grid if k < len(r)), default=0) for k in range(max(map(len, grid), default=0))]
-    for row in grid:
-        line = " | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()
-        if line.strip(" |"):
+    for row, cells in parts:
+        if row:
+            line = " | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=False)).rstrip()
+            shown = line.strip(" |")
+        else:
+            line = shown = cells[0].replace("\n", "\n" + out.indent)
+        if shown:
             out.block(1)
             out.put(line)
     out.block(1)

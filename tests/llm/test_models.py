@@ -187,6 +187,26 @@ def test_page_layout():
     assert html.page_text(page) == "Head & tail\n\none\n\ntwo bold text\nnext\n\n- a\n- b\n  3. x\n\nk        | value\nlong key | 1\n\n keep\n      this\n\ntail < end"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><caption>c</caption>one<tr>two<td>a</td>three<td>b</td></tr><b>four</b><tr><td>long<td>d</table>", "c\none\ntwo\na    | b\nthree\nfour\nlong | d"),
+        ("<table><tr><form>to<td>x</td></form></tr></table>", "to\nx"),
+        ("<table><tbody><div>n<tr><td>x</td></tr></div>m</table>", "n\nx\nm"),
+        ("<table><tr><td>a</td></tr><table><tr><td>in</td></tr></table></table>", "a\nin"),
+        ("<div><table><tr><td>a</td></tr></div><p>rest of<p>page<ul><li>x<li>y</ul>", "a\nrest of\n\npage\n\n- x\n- y"),
+        ("<table>\n<colgroup><col></colgroup>\n<tr>\n<td>a</td>\n<td>b</td>\n</tr>\n<br></table>", "a | b"),
+        ("<table>" + "<div>" * 3000 + "deep<tr><td>x", "deepx"),
+        ("<html><head><title>t</title><p>Hello", "Hello"),
+        ("<html><head>\n<meta charset=x><link rel=y><script>1</script><!-- c --> Hello", "Hello"),
+        ("<head><style>p{}</style><html><title>t</title><base><div>x</div>", "x"),
+        ("<head><title>t</title></head>a<div hidden><head><p>no</p></div>b", "ab"),
+    ],
+)
+def test_pages_lose_no_text(page, text):
+    assert html.page_text(page) == text
+
+
 def test_pages_odd_inputs(spark):
     pages = [None, "", "plain", "<p", "</div></p>x", "<div>" * 3000 + "deep", "<table><tr><td>a<table><tr><td>b</table></table>", "<script>never closed", "&nosuch; &lt;b&gt;", "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("text", F.lit("clash"))
