@@ -25,7 +25,11 @@ from tessera.llm.text import chunks, walk
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template")}
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden|type\s*=\s*["']?hidden""", re.I)
+#: A name with its value, or a stray quoted string.
+_ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?|"[^"]*"|'[^']*'""")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_CSS_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
+_CSS_HIDES = re.compile(r"\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?", re.I)
 _START = re.compile(r"""(?:^|\s)start\s*=\s*["']?(-?\d{1,9})""", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -62,6 +66,20 @@ class Node:
         self.children: list[Node | str] = []
 
 
+def _hides(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: ``hidden``, ``aria-hidden`` that is true, or a declaration of its style."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            value = m[2] or ""
+            found.setdefault(m[1].lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return any(_CSS_HIDES.fullmatch(d) for d in _CSS_OPAQUE.sub(" ", found.get("style", "")).split(";"))
+
+
 def parse(html: str) -> Node:
     """The tree of visible elements and texts."""
     root = Node("root")
@@ -119,7 +137,7 @@ def parse(html: str) -> Node:
             if not hidden:
                 stack[-1].children.append(Node(tag))
             continue
-        gone = tag in NEVER_SHOWN or bool(attributes and _HIDDEN.search(attributes))
+        gone = tag in NEVER_SHOWN or bool(attributes and _hides(attributes))
         if tag in _RAW_END:
             end = _RAW_END[tag].search(html, at)
             if tag == "textarea" and not gone:

@@ -207,6 +207,29 @@ def test_pages_lose_no_text(page, text):
     assert html.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("attributes", "shown"),
+    [
+        ('title="our hidden gem"', True),
+        ('class="nav hidden md:block"', True),
+        ("""onclick="x.style='display: none'" data-x='visibility:hidden'""", True),
+        ('data-type="hidden" type=hidden', True),
+        ('data-aria-hidden="true" aria-hidden=false alt="aria-hidden=true"', True),
+        ("""style="background:url(a;display:none);content:'; display:none ;'; x-display:none" """, True),
+        ('"stray hidden quote" a="b"', True),
+        ("hidden", False),
+        ("HIDDEN=''", False),
+        ('title="a"hidden class=b', False),
+        ("aria-hidden = TRUE", False),
+        ('style="color:red; DISPLAY : none !important"', False),
+        ("style='visibility:hidden'", False),
+        ("style=display&#58;none", False),
+    ],
+)
+def test_pages_hide_by_attributes_only(attributes, shown):
+    assert html.page_text(f"<div {attributes}>text</div>") == ("text" if shown else "")
+
+
 def test_pages_odd_inputs(spark):
     pages = [None, "", "plain", "<p", "</div></p>x", "<div>" * 3000 + "deep", "<table><tr><td>a<table><tr><td>b</table></table>", "<script>never closed", "&nosuch; &lt;b&gt;", "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("text", F.lit("clash"))
