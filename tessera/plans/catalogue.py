@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 LOW, HIGH = 1, 60
+#: The reference's upper limits are shares of Alice's records: one, and those of its sweep.
+SHARE, SHARES = 0.05, (0.02, 0.03, 0.04, 0.05, 0.06, 0.07)
 N_REFS, K = 30, 10
 BITS, LENGTH, HASHES = 12, 97, 5
 LAYOUT = hlsh.Layout.make((61, 67), (60, 40), 10, 6, 42)
@@ -640,6 +642,23 @@ def drop_limit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _by_share(spark: SparkSession, sf_dir: str, shares: tuple[float, ...]) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    sa, sb, n = psig.signatures(a, S.SIGNATURES), psig.signatures(b, S.SIGNATURES), a.count()
+    rows = [metrics.assess(a, b, candidate_pairs(*(frequency_filter(m, LOW, int(x * n)) for m in (sa, sb)))).select(F.lit(x).alias("drop_ratio"), "*") for x in shares]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query()
+def psig_share_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_share(spark, sf_dir, (SHARE,))
+
+
+@query()
+def drop_ratio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_share(spark, sf_dir, SHARES)
+
+
 @query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + 'SELECT "Method", round(avg(pc), 9) AS mean_pc, round(stddev_pop(pc), 9) AS std_pc FROM sweep GROUP BY "Method"')
 def report_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.variance(_swept(spark, sf_dir)).select("Method", F.round("mean_pc", 9).alias("mean_pc"), F.round("std_pc", 9).alias("std_pc"))
