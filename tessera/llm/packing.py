@@ -7,8 +7,11 @@ full leave, and the underfull ones go on, as items, to a round with fewer partit
 best-fit again, until one partition is left. Only ids, lengths and checksums take part: the text is
 read once, and a sequence in the making holds at most 1024 pieces.
 
-What a partition hands on is bounded (``HAND_ON`` sequences, the emptiest); the fuller rest leaves
-as it is, so no task ever gathers more than ``FAN_IN * HAND_ON`` items, however large the corpus.
+What a partition hands on is bounded (``HAND_ON`` sequences, the emptiest), so no task ever gathers
+more than ``FAN_IN * HAND_ON`` items, however large the corpus. The bound costs nothing: of a
+partition's sequences only one can be at most half full, so in each later round at most ``FAN_IN``
+of those that meet can be put into another, and what fits into a fuller sequence fits into one of the
+``FAN_IN`` times as many rounds emptiest ones too.
 
 Defined cases: a null or empty text is a piece of one token, the end mark; a null id is kept; rows
 that share an id are packed as documents of their own; an empty table gives no rows.
@@ -17,6 +20,8 @@ that share an id are packed as documents of their own; an empty table gives no r
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -46,26 +51,31 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """Text to token ids by the vocabulary file at ``path``, held once per worker.
+    """Text to token ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives
+    them, held once per worker. Strings of added tokens in a text become those tokens, as there.
 
     A byte-level BPE stored as a ``.json`` file for *tokenizers* whose ranks lie beside it, as
-    ``.tiktoken``, is run by *tiktoken*: the ids are the same, in a quarter of the time.
+    ``.tiktoken``, is run by *tiktoken*: the ids are the same, in a quarter of the time. Added tokens
+    with rules of their own (white space stripped, whole words) are left to *tokenizers*.
     """
     if path not in _encoders:
         ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
+        with open(path, "rb") as f:
+            added = json.load(f).get("added_tokens", [])
+        plain = not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if plain and os.path.exists(ranks):
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            _encoders[path] = made.encode_ordinary
-        except (ImportError, FileNotFoundError):
+            special = {t["content"]: t["id"] for t in added}
+            made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+            _encoders[path] = lambda text: made.encode(text, allowed_special="all")
+        else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
             _encoders[path] = lambda text: t.encode(text, add_special_tokens=False).ids
     return _encoders[path]
 

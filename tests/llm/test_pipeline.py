@@ -58,7 +58,6 @@ def test_stages(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     pieces = {}
     for d, x in clean.items():
         v = [*t.encode(x or "", add_special_tokens=False).ids, 2]
