@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -219,7 +222,7 @@ def test_page_layout():
         ("<table><tr><td>a</td></tr><table><tr><td>in</td></tr></table></table>", "a\nin"),
         ("<div><table><tr><td>a</td></tr></div><p>rest of<p>page<ul><li>x<li>y</ul>", "a\nrest of\n\npage\n\n- x\n- y"),
         ("<table>\n<colgroup><col></colgroup>\n<tr>\n<td>a</td>\n<td>b</td>\n</tr>\n<br></table>", "a | b"),
-        ("<table>" + "<div>" * 3000 + "deep<tr><td>x", "deepx"),
+        ("<table>" + "<div>" * 3000 + "deep<tr><td>x", "deep\nx"),
         ("<html><head><title>t</title><p>Hello", "Hello"),
         ("<html><head>\n<meta charset=x><link rel=y><script>1</script><!-- c --> Hello", "Hello"),
         ("<head><style>p{}</style><html><title>t</title><base><div>x</div>", "x"),
@@ -243,7 +246,10 @@ def test_pages_lose_no_text(page, text):
         ("hidden", False),
         ("HIDDEN=''", False),
         ('title="a"hidden class=b', False),
-        ("aria-hidden = TRUE", False),
+        ("aria-hidden = TRUE", True),
+        ("style='background:url(a;b;display:none'", True),
+        ("style='/* ; */ display:none'", False),
+        ("style='content:\"(\"; display:none'", False),
         ('style="color:red; DISPLAY : none !important"', False),
         ("style='visibility:hidden'", False),
         ("style=display&#58;none", False),
@@ -253,9 +259,69 @@ def test_pages_hide_by_attributes_only(attributes, shown):
     assert html.page_text(f"<div {attributes}>text</div>") == ("text" if shown else "")
 
 
+class Literal(HTMLParser):
+    """The visible characters of a page in order, by the standard library's tokenizer: no tree, no layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        style = (dict(attrs).get("style") or "").replace(" ", "")
+        if tag not in html.VOID and (self.hidden or tag in html.NEVER_SHOWN or dict(attrs).get("hidden", 0) != 0 or "display:none" in style):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def shown(text):
+    """Characters without white space and the marks of lists and tables."""
+    return re.sub(r"\s", "", re.sub(r"(?m)^ *(?:- |\d+\. )|\|", "", text))
+
+
+def test_pages_show_what_a_literal_reader_sees(spark):
+    """All pages of a table, as they are and with hostile pieces put into them."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    rng = random.Random(6)
+    bits = ["<div hidden>no<div>no</div></div>", "<span style='display : none'>no</span>", '<b title="> hidden display:none">yes</b>', "<table><tr><td>c1<td>c2<tr><td>c3</table>", "<dl><dt>t<dd>d</dl>", "<p data-a='x\">'>q &amp; r &nosuch;", "<br/>", "<script>if (a<b) '</p>'</script>", "<!-- > no -->", "<noscript>no</noscript>", "a < b"]
+    for k in range(len(pages)):
+        for _ in range(k % 4):
+            at = rng.choice([m.start() for m in re.finditer(r"<p>|<ul>|</article>", pages[k])] or [0])
+            pages[k] = pages[k][:at] + rng.choice(bits) + pages[k][at:]
+    for page in pages:
+        literal = Literal()
+        literal.feed(page)
+        literal.close()
+        assert shown(html.page_text(page)) == shown("".join(literal.out).replace("\n", " "))
+
+
+def test_table_text_outside_cells():
+    assert html.page_text("<table>loose<tr>stray<td>a<td>b</table>") == "loose\nstray\na | b"
+    assert html.page_text("<table><tr><div>d</div><td>e</table>") == "d\ne"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a '" * 250_000 + ">", '<a ">"' * 150_000 + "'", "<div>" * 200_000, "<i><table><td>" + "<b>" * 100_000 + "</i>" * 100_000, "<p style='" + "(" * 10**6 + "'>x", "<script>" + "</script " * 100_000, "<!" * 500_000, "<ul><li>" * 100_000, "<table><tr><td>" * 2000 + "x", "<table><tr><td>" + "x" * 10**6 + "<td>y" + "<tr><td>a<td>b" * 20_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    assert len(html.page_text(page)) <= 40 * len(page)
+    assert time.process_time() - began < 10
+
+
+def test_selects_show_what_is_chosen():
+    assert html.page_text("<p>a <select><option>x<option selected>y</select> b") == "a y b"
+    assert html.page_text("<select><optgroup><option>x<option>y</select>") == "x" and html.page_text("<select multiple><option>x<option>y</select>") == "x\ny"
+
+
 def test_pages_odd_inputs(spark):
     pages = [None, "", "plain", "<p", "</div></p>x", "<div>" * 3000 + "deep", "<table><tr><td>a<table><tr><td>b</table></table>", "<script>never closed", "&nosuch; &lt;b&gt;", "<p>" + "word " * 50_000]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("text", F.lit("clash"))
     got = [r["text"] for r in html.extract(df).orderBy("page_id").collect()]
     assert got[:5] == [None, "", "plain", "<p", "x"] and got[5] == "deep" and got[7] == "" and got[8] == "&nosuch; <b>"
+    assert html.extract(df.limit(0)).count() == 0
     assert got[6].split() == ["a", "b"] and len(got[9]) == 50_000 * 5 - 1
