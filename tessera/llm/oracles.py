@@ -90,22 +90,22 @@ _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _FITS = "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))"
 _OP4 = f"""
 WITH parts AS (
-    SELECT page_id, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {_UPPER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path FROM pages
+    SELECT page_id, coalesce(url, '') AS text, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {_UPPER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path FROM pages
 ), judged AS (
     SELECT *, CASE WHEN {_FITS.format("example.net", "/en/")} THEN 'example.net/en/' WHEN {_FITS.format("example.com", "/de/")} THEN 'example.com/de/'
         WHEN {_FITS.format("org", "/fr/")} THEN 'org/fr/' WHEN {_FITS.format("net", "/")} THEN 'net/' END AS rule FROM parts
 ), ruled AS (
-    SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-        '^^' || regexp_replace(translate(host || path, {_UPPER}), '[^a-z0-9./\\-_=&?%:#~+,]', '*', 'g') || '$' AS chars FROM judged
+    SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, md5(text) < '4' AS calibrates,
+        '^^' || regexp_replace(translate(text, {_UPPER}), '[^a-z0-9./\\-_=&?%:#~+,]', '*', 'g') || '$' AS chars FROM judged
 ), codes AS (
-    SELECT page_id, ruled, list_transform(range(1, length(chars) - 1), lambda i: ((instr('{_ALPHABET}', substr(chars, i, 1)) - 1) * {_N}
+    SELECT page_id, CASE WHEN NOT calibrates THEN ruled END AS ruled, list_transform(range(1, length(chars) - 1), lambda i: ((instr('{_ALPHABET}', substr(chars, i, 1)) - 1) * {_N}
         + instr('{_ALPHABET}', substr(chars, i + 1, 1)) - 1) * {_N} + instr('{_ALPHABET}', substr(chars, i + 2, 1)) - 1) AS codes FROM ruled
 ), grams AS (SELECT page_id, ruled, unnest(codes) AS gram FROM codes), {_model("allow")}, {_model("block")},
 model AS (SELECT a.gram, round(ln(a.p) - ln(b.p), 9) AS ratio FROM p_allow a JOIN p_block b USING (gram)),
 scores AS (SELECT page_id, round(sum(ratio) / count(*), 6) AS score FROM grams JOIN model USING (gram) GROUP BY page_id),
 bins AS (
     SELECT greatest(least(floor(score / 0.01::DOUBLE), 2000), -2000)::BIGINT AS step, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS b
-    FROM scores JOIN ruled USING (page_id) WHERE ruled IS NOT NULL GROUP BY 1
+    FROM scores JOIN ruled USING (page_id) WHERE ruled IS NOT NULL AND calibrates GROUP BY 1
 ), sides AS (
     SELECT step, lag(step) OVER w AS before, coalesce(sum(a) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS a,
         coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS b, sum(a) OVER ()::DOUBLE AS all_a, sum(b) OVER ()::DOUBLE AS all_b FROM bins WINDOW w AS (ORDER BY step)

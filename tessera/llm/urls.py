@@ -2,15 +2,16 @@
 
 Two smoothed variable-order Markov models (orders 0 to 2, each order interpolated with the next lower
 one by Witten-Bell weights) describe accepted and rejected URLs; a URL's score is the mean over its
-characters of log P(accepted) - log P(rejected). URLs that a rule decides are the training rows, and
-the threshold is calibrated on them: the score, in steps of 0.01, with the best balanced accuracy.
+characters of log P(accepted) - log P(rejected). URLs that a rule decides teach the models, but for a
+quarter of them, by a hash of the URL: on those, which the models haven't seen, the threshold is
+calibrated as the score, in steps of 0.01, with the best balanced accuracy.
 
 Characters are folded to a fixed alphabet, so both models together are one dense table of
 ``len(ALPHABET) ** 3`` rows whatever the corpus: that bound is why it may be broadcast.
 
 Defined cases: a null url or one without ``://`` has empty host and path and matches no rule; the
 models read the whole URL, query and fragment too, and a null as the empty string; with no training row of one class every score is that of a uniform
-model; repeated rows are judged alike; other columns of the input are ignored.
+model, and with no calibration row of one class the threshold is 0; repeated rows are judged alike; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
     return out.withColumns({"rule": rule, "ruled": ruled})
 
 
+def _calibrates(text: Column) -> Column:
+    """A quarter of the URLs: those whose md5 starts with 0 to 3."""
+    return F.md5(text) < "4"
+
+
 def _folded(text: Column) -> Column:
     """Two start marks, the characters in the alphabet, one end mark."""
     known = ALPHABET[3:]
@@ -139,12 +145,12 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: Sequence[tuple[
     """
     judged = with_rules(pages.select(id_col, "url"), rules)
     text = F.coalesce("url", F.lit(""))
-    training = judged.filter("ruled is not null").select(_folded(text).alias("chars"), F.col("ruled").alias("side"))
+    training = judged.filter(F.col("ruled").isNotNull() & ~_calibrates(text)).select(_folded(text).alias("chars"), F.col("ruled").alias("side"))
     model = fit(training)
     texts = judged.select(text.alias("text"), "ruled").groupBy("text", "ruled").agg(F.count(F.lit(1)).alias("n"))
     texts = texts.select("text", "ruled", "n", _folded(F.col("text")).alias("chars"))
     scores = materialise(score(texts.select("text", "chars"), model, "text"), "url-scores")
-    known = texts.filter("ruled is not null").join(scores, "text").select("score", F.col("ruled").alias("side"), "n")
+    known = texts.filter(F.col("ruled").isNotNull() & _calibrates(F.col("text"))).join(scores, "text").select("score", F.col("ruled").alias("side"), "n")
     cut = calibrate(known)
     out = judged.withColumn("text", text).join(scores, "text", "left")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, F.lit("allow")).otherwise(F.lit("block")))
