@@ -1,6 +1,8 @@
 """Operators over documents against brute force, on small tables with awkward rows."""
 
 import hashlib
+import os
+import pickle
 import random
 import re
 import zlib
@@ -173,13 +175,13 @@ def brute_hits(rows, bench):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard", [decontam.SHARD_BYTES, 300])
+@pytest.mark.parametrize("shard", [decontam.SHARD_WORDS, 45, 17])
 def test_decontamination_matches_brute_force(spark, shard):
-    """One shard, and several passes over small ones."""
+    """One shard, and several small ones, one of which is less than an item."""
     a = items()[0][1].split()
     rows = documents() + [(50, "pre " + " ".join(a[3:20]).upper() + " mid " + " ".join(a[:14]) + " post"), (51, "a SHORT-item, here! " + "z " * 400), (52, " ".join(a[:12])), (53, " ".join(a))]
     bench = spark.createDataFrame(items(), "item_id long, text string")
-    got = decontam.digest(decontam.mark(frame(spark, rows), bench, shard_bytes=shard))
+    got = decontam.digest(decontam.mark(frame(spark, rows), bench, shard_words=shard))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_hits(rows, items())
 
 
@@ -192,7 +194,35 @@ def test_clean_cuts_passages_and_drops_contaminated(spark):
     got = {r["doc_id"]: r for r in decontam.clean(docs, bench).collect()}
     assert sorted(got) == [1, 3, 4, 5] and got[3]["text"] == " ".join(long)
     assert got[1]["text"] == " ".join(long[:400]) + "  " + " ".join(long[400:]) and got[1]["n_chars"] == len(got[1]["text"])
-    assert decontam.clean(docs, bench.limit(0)).count() == 5
+    assert decontam.clean(docs, bench.limit(0)).count() == 5 and decontam.clean(docs.limit(0), bench).count() == 0
+
+
+def test_clean_with_clashing_names(spark):
+    a = items()[0][1]
+    docs = spark.createDataFrame([(1, a, "s", 1, 2, "i", 3), (2, "fine text", "t", 4, 5, "j", 6)], "doc_id long, text string, spans string, h1 int, H2 int, items string, N_WORDS int")
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    for words in (decontam.SHARD_WORDS, 20):
+        marked = decontam.mark(docs, bench, shard_words=words)
+        assert set(docs.columns) < set(marked.frame.columns) and decontam.digest(marked).filter("contaminated").count() == 1
+    assert [tuple(r) for r in decontam.clean(docs, bench).collect()] == [(2, "fine text", "t", 4, 5, "j", 6)]
+
+
+def test_a_worker_unpacks_the_automaton_once(spark):
+    """Two tasks that one worker runs share what it has unpacked."""
+    shared = spark.sparkContext.broadcast(decontam.Automaton([("1", items()[0][1].encode())]))
+    seen = spark.sparkContext.parallelize(range(8), 8).mapPartitions(lambda _: [(os.getpid(), id(shared.value))]).collect()
+    assert all(len({i for p, i in seen if p == pid}) == 1 for pid, _ in seen) and len({p for p, _ in seen}) < 8
+
+
+def test_automaton_in_bounded_memory():
+    """At most two states a word, in flat arrays; many items that share a window cost one entry each."""
+    rng = random.Random(4)
+    text = [(str(k), " ".join(f"w{rng.randrange(20_000)}" for _ in range(400)).encode()) for k in range(50)]
+    machine = decontam.Automaton(text)
+    assert len(machine.link) <= 2 * 20_000 + 1 and len(pickle.dumps(machine)) < 100 * 20_000
+    common = " ".join(words(20, 71)).encode()
+    machine = decontam.Automaton([(str(k), common) for k in range(3000)])
+    assert machine.spans(common.split())[1] == {str(k) for k in range(3000)} and len(pickle.dumps(machine)) < 300_000
 
 
 def test_automaton_on_random_words():
