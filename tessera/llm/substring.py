@@ -16,12 +16,17 @@ equal stretches of words all symbols are equal but for ``MARGIN`` words at eithe
 3. Where a core stands in stretches of several names, one stretch of each name is taken apart, and its
    windows are verified one by one by their own names.
 
+What decides is always a core's name together with a stretch's or window's own: 128 bits, by two
+families of hashes, so that among 10**13 windows no two unlike ones are expected to meet.
+
 Only names, ids and places are shuffled. A hot passage is one name with many places; names are
-aggregated by minimum before the shuffle and joined back, never collected.
+aggregated by minimum before the shuffle and joined back, never collected; where one core stands in
+many stretches they are dealt by salt.
 
 Defined cases: null texts have no words; texts under 50 words are never cut; rows with a null id
 neither lose nor claim words; rows that share an id never cut each other, and places are told apart
-by a hash of the text; other columns pass through ``drop_repeats``.
+by a hash of the text; an empty table gives no rows; long texts are read in pieces and have no limit;
+other columns pass through ``drop_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, WordHashes, chunks, mix, spaced_words, walk
+from tessera.llm.text import U64, WordHashes, chunks, free_name, mix, walk, word_blocks
 from tessera.session import materialise
 
 WINDOW = 50
@@ -45,10 +50,14 @@ MARGIN = sum(run + run for run, _ in ROUNDS)
 LARGEST = ROUNDS[-1][1]
 PLACES = WINDOW - 2 * MARGIN - LARGEST + 1
 _BASE = U64(0x9E3779B97F4A7C15)
-_BACK = U64(pow(int(_BASE), -1, 1 << 64))
+#: Cores are named by hashes of their own, so that a core's name and a stretch's make 128 bits.
+_CORE_BASE, _CORE_SALT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
 _SALT = mix(np.arange(1, 4 * len(ROUNDS) + 2, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
-_PLACE = U64((1 << 24) - 1)
 STRETCHES = "array<struct<start:int,n:int,core:bigint,body:bigint>>"
+#: A core's places are dealt to so many tasks where a join would otherwise gather them in one.
+SALTS = 16
+#: How a span is packed into one number: start, number of windows (at most PLACES), where it is from.
+_N, _KINDS = 64, 4
 
 
 def _runs(names: np.ndarray, sizes: np.ndarray, most: int, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +102,31 @@ def recompress(words: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return names, np.cumsum(sizes) - sizes
 
 
-def _middle_minimum(keys: np.ndarray, width: int) -> np.ndarray:
-    """For each place the least of the ``width`` keys that start there."""
+def _first_least(keys: np.ndarray, width: int) -> np.ndarray:
+    """For each place where the least of the ``width`` keys that start there stands; of equal ones the first."""
+    at = np.arange(len(keys))
+
+    def lesser(left: slice, right: slice) -> None:
+        nonlocal keys, at
+        take = keys[left] <= keys[right]
+        keys, at = np.where(take, keys[left], keys[right]), np.where(take, at[left], at[right])
+
     reach = 1
     while reach * 2 <= width:
-        keys = np.minimum(keys[:-reach], keys[reach:])
+        lesser(slice(None, -reach), slice(reach, None))
         reach *= 2
-    rest = width - reach
-    return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
+    if rest := width - reach:
+        lesser(slice(None, -rest), slice(rest, None))
+    return at
 
 
 class Names:
     """Names of any stretch of a row of words: polynomial hashes from prefix sums."""
 
-    def __init__(self, words: np.ndarray) -> None:
-        power = np.full(len(words) + 1, _BASE, dtype=U64)
+    def __init__(self, words: np.ndarray, base: np.uint64 = _BASE) -> None:
+        power = np.full(len(words) + 1, base, dtype=U64)
         power[0] = U64(1)
-        back = np.full(len(words) + 1, _BACK, dtype=U64)
+        back = np.full(len(words) + 1, U64(pow(int(base), -1, 1 << 64)), dtype=U64)
         back[0] = U64(1)
         self.back = np.cumprod(back, dtype=U64)
         self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * np.cumprod(power, dtype=U64)[:-1], dtype=U64)])
@@ -131,21 +148,20 @@ def stretches_of(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray,
     words[ends] = mix(np.arange(len(texts), dtype=U64) + _SALT[-1])
     names, places = recompress(words, breaks)
     keys = np.full(total + WINDOW, ~U64(0), dtype=U64)
-    keys[places] = (mix(names) & ~_PLACE) | places.astype(U64)
-    least = _middle_minimum(keys[MARGIN:], PLACES)
+    keys[places] = mix(names)
+    least = _first_least(keys[MARGIN:], PLACES)
     long = np.flatnonzero(sizes >= WINDOW)
     empty = np.zeros(0, np.int64)
     out = [(empty, empty, empty, empty)] * len(texts)
     if not len(long):
         return out
     windows = np.concatenate([np.arange(starts[d], ends[d] - WINDOW + 1) for d in long])
-    anchors = (least[windows] & _PLACE).astype(np.int64)
+    anchors = least[windows] + MARGIN
     first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     count = np.diff(np.append(first, len(windows)))
     at, anchor = windows[first], anchors[first]
-    name = Names(words)
-    core = name.of(anchor - MARGIN, anchor - MARGIN - PLACES + 1 + WINDOW)
-    body = name.of(at, at + count - 1 + WINDOW)
+    core = Names(mix(words ^ _CORE_SALT), _CORE_BASE).of(anchor - MARGIN, anchor - MARGIN - PLACES + 1 + WINDOW)
+    body = Names(words).of(at, at + count - 1 + WINDOW)
     cut = np.searchsorted(at, starts[long])
     for d, a, b in zip(long, cut, np.append(cut[1:], len(at)), strict=True):
         out[d] = (at[a:b] - starts[d], count[a:b], core[a:b], body[a:b])
@@ -156,15 +172,31 @@ def window_names(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return Names(words).of(starts, starts + WINDOW)
 
 
+def _whole(text: bytes | None) -> bytes:
+    """Digest of all words, joined by one space."""
+    out, before = hashlib.sha256(), b""
+    for block in word_blocks(text) if text else ():
+        if block:
+            out.update(before + b" ".join(block))
+            before = b" "
+    return out.digest()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (hash of the text, which tells rows of one id apart), text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
 def _parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, mark (hash of the text), n_words, whole (digest of all words), stretches of each row."""
+    """doc_id, mark, n_words, whole (digest of all words), stretches of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         kind = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("core", pa.int64()), ("body", pa.int64())])
         for batch in chunks(batches, "text"):
-            words = [spaced_words(t) if t else [] for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            found = stretches_of([hashes.of(w) for w in words])
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            words = [hashes.of_text(t) for t in texts]
+            found = stretches_of(words)
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
             fields = [pa.array(np.concatenate([f[k] for f in found]), t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(
@@ -172,38 +204,45 @@ def _parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     batch.column(0),
                     batch.column(1),
                     pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()),
+                    pa.array([_whole(t) for t in texts], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind))),
                 ],
                 names=["doc_id", "mark", "n_words", "whole", "stretches"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return walk(rows, run, f"doc_id long, mark int, n_words long, whole binary, stretches {STRETCHES}")
+    return walk(_rows(docs, id_col, text_col), run, f"doc_id long, mark long, n_words long, whole binary, stretches {STRETCHES}")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """(name, doc_id, mark, start) of each window of the stretches ``parts`` of a text."""
+    """(core, name, doc_id, mark, start) of each window of the stretches ``parts`` of a text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
             for doc_id, mark, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                starts = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in parts]))
-                named = window_names(hashes.of(spaced_words(text)), starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(named), pa.array(np.full(len(starts), doc_id, np.int64)), pa.array(np.full(len(starts), mark, np.int32)), pa.array(starts, pa.int32())], names=["name", "doc_id", "mark", "start"]
-                )
+                words = hashes.of_text(text)
+                named, at = Names(words), sorted({(p["start"], p["n"], p["core"]) for p in parts})
+                for k in range(0, len(at), 10_000):
+                    starts = np.concatenate([np.arange(a, a + n) for a, n, _ in at[k : k + 10_000]])
+                    cores = np.repeat(np.array([c for _, _, c in at[k : k + 10_000]], np.int64), [n for _, n, _ in at[k : k + 10_000]])
+                    columns = [pa.array(cores), pa.array(named.of(starts, starts + WINDOW)), pa.array(np.full(len(starts), doc_id, np.int64)), pa.array(np.full(len(starts), mark, np.int64)), pa.array(starts, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["core", "name", "doc_id", "mark", "start"])
+
+    return walk(rows.select("doc_id", "mark", "text", "parts"), run, "core long, name long, doc_id long, mark long, start int")
+
 
-    return walk(rows.select("doc_id", "mark", "text", "parts"), run, "name long, doc_id long, mark int, start int")
+def _packed(kind: int) -> Column:
+    """A span and where it is from as one number."""
+    return (F.col("start").cast("long") * _N + F.col("n")) * _KINDS + kind
 
 
-def removed_words(n_words: int, spans: list[dict]) -> np.ndarray:
-    """A mask of the words under the spans (start, n windows)."""
+def removed_words(n_words: int, codes: np.ndarray) -> np.ndarray:
+    """A mask of the words under the spans: live stretches (0) but for those that stay (1), and windows found (2)."""
+    kind, span = codes % _KINDS, codes // _KINDS
+    spans = np.concatenate([np.setdiff1d(span[kind == 0], span[kind == 1]), np.unique(span[kind == 2])])
     edge = np.zeros(n_words + 1, np.int64)
-    for s in spans:
-        edge[s["start"]] += 1
-        edge[s["start"] + s["n"] - 1 + WINDOW] -= 1
+    np.add.at(edge, spans // _N, 1)
+    np.add.at(edge, spans // _N + spans % _N - 1 + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -213,18 +252,30 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             gone, digests, texts = [], [], []
-            for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = spaced_words(text)
-                mask = removed_words(len(words), spans)
-                kept = b" ".join(w for w, x in zip(words, mask.tolist(), strict=True) if not x)
+            spans = batch.column(4)
+            for k, (text, n_words) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                mask, at, kept = removed_words(n_words, spans[k].values.to_numpy()), 0, []
+                for block in word_blocks(text):
+                    here = mask[at : at + len(block)]
+                    at += len(block)
+                    left = block if not here.any() else [w for w, x in zip(block, here.tolist(), strict=True) if not x]
+                    if left:
+                        kept.append(b" ".join(left))
+                rest = b" ".join(kept)
                 gone.append(int(mask.sum()))
-                digests.append(hashlib.sha256(kept).digest())
-                texts.append(kept if with_text else None)
+                digests.append(hashlib.sha256(rest).digest())
+                texts.append(rest if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "mark", "n_removed", "kept", "kept_text"]
             )
 
-    return walk(rows.select("doc_id", "mark", "text", "spans"), run, "doc_id long, mark int, n_removed long, kept binary, kept_text string")
+    return walk(rows.select("doc_id", "mark", "text", "n_words", "spans"), run, "doc_id long, mark long, n_removed long, kept binary, kept_text string")
+
+
+def _salted_semi(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is among ``keys``; the rows of one key are dealt to ``SALTS`` tasks."""
+    spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.hash("doc_id", "start"), F.lit(SALTS))).join(spread, [key, "salt"], "left_semi").drop("salt")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -236,22 +287,22 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # its hot keys split at run time
     shared = materialise(stretches.groupBy("core").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("core"), "shared")
     live = materialise(stretches.join(shared, "core", "left_semi"), "live")
-    named = materialise(live.groupBy("core", "body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "named")
+    named = materialise(live.groupBy("core", "body").agg(F.min("doc_id").alias("low")), "named")
     # of equal stretches those in the smallest document stay; joining these, and not the many others,
     # a hot passage makes few rows
     stay = materialise(live.join(named.select("core", "body", F.col("low").alias("doc_id")), ["core", "body", "doc_id"], "left_semi"), "stay")
-    several = named.groupBy("core").agg(F.count(F.lit(1)).alias("bodies")).filter("bodies > 1").select("core")
-    apart = stay.join(several, "core", "left_semi").groupBy(*row).agg(F.collect_list(F.struct("start", "n")).alias("parts"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text_col).alias("mark"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(live.select(*row).distinct(), row, "left_semi"), "repeating")
+    several = materialise(named.groupBy("core").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least < most").select("core"), "several")
+    apart = _salted_semi(stay, several, "core").groupBy(*row).agg(F.collect_list(F.struct("start", "n", "core")).alias("parts"))
+    size = parsed.select(*row, "n_words").join(live.select(*row).distinct(), row, "left_semi").distinct()
+    texts = materialise(_rows(docs, id_col, text_col).join(size, row), "repeating")
     windows = materialise(_windows(texts.join(apart, row)), "windows")
-    least = materialise(windows.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "least")
-    found = windows.join(least, "name").filter("doc_id > low").select(*row, "start", F.lit(1).alias("n"))
-    kinds = [df.select(*row, "start", "n", F.lit(k).alias("kind")) for k, df in enumerate((live, stay, found))]
-    place = F.struct("start", "n")
-    of = [F.collect_set(F.when(F.col("kind") == k, place)).alias(f"of{k}") for k in range(3)]
-    spans = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy(*row).agg(*of)
-    spans = spans.select(*row, F.concat(F.array_except("of0", "of1"), "of2").alias("spans")).filter(F.size("spans") > 0)
+    name = ["core", "name"]
+    least = materialise(windows.groupBy(*name).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "least")
+    found = windows.join(least, name).filter("doc_id > low").select(*row, "start", F.lit(1).alias("n"))
+    codes = [df.select(*row, _packed(k).alias("code")) for k, df in enumerate((live, stay, found))]
+    count = lambda k: F.count_if(F.col("code") % _KINDS == k)
+    spans = codes[0].unionByName(codes[1]).unionByName(codes[2]).groupBy(*row).agg(F.collect_list("code").alias("spans"), count(0).alias("all"), count(1).alias("stay"), count(2).alias("found"))
+    spans = spans.filter("`all` > stay or found > 0").select(*row, "spans")
     cut = materialise(_cut(texts.join(spans, row), with_text), "cut")
     return parsed.select(*row, "n_words", "whole"), cut.dropDuplicates(row)
 
@@ -269,10 +320,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A text that loses words becomes its kept words, joined by one space, and ``n_chars`` follows it.
     """
     _, cut = find_repeats(docs, id_col, text_col, with_text=True)
-    cut = cut.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept_text").alias("_kept"))
-    out = docs.join(cut, (docs[id_col] == cut["_id"]) & (F.hash(docs[text_col]) == cut["_mark"]), "left")
-    out = out.filter("_kept is null or _kept <> ''")
-    changed = {text_col: F.coalesce("_kept", text_col)}
+    row, mark, kept = (free_name(docs.columns, c) for c in ("row_id", "mark", "kept"))
+    cut = cut.select(F.col("doc_id").alias(row), F.col("mark").alias(mark), F.col("kept_text").alias(kept))
+    out = docs.join(cut, (docs[id_col] == cut[row]) & (F.xxhash64(docs[text_col]) == cut[mark]), "left")
+    out = out.filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    changed = {text_col: F.coalesce(kept, text_col)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*docs.columns)

@@ -39,6 +39,19 @@ def spaced_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_blocks(text: bytes, most: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The spaced words of a text in lists of about ``most`` bytes, so that a long text isn't held as words."""
+    at = 0
+    while at < len(text):
+        m = _BLANK.search(text, at + most)
+        end = m.start() if m else len(text)
+        yield spaced_words(text if end - at == len(text) else text[at:end])
+        at = end
+
+
 class WordHashes:
     """64-bit hashes of words, remembered up to ``limit`` words (a cache: what it forgets is hashed again)."""
 
@@ -60,6 +73,11 @@ class WordHashes:
                         out[k] = known[w] = hashed(w)
         return np.array(out, dtype=U64)
 
+    def of_text(self, text: bytes | None) -> np.ndarray:
+        """Hashes of a whole text's spaced words."""
+        found = [self.of(block) for block in word_blocks(text)] if text else []
+        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.zeros(0, U64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""

@@ -7,13 +7,14 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 
-from tessera.llm import decontam, minhash, packing, substring  # noqa: E402
+from tessera.llm import decontam, minhash, packing, substring, text  # noqa: E402
 
 
 def words(n, seed, vocabulary=4000):
@@ -82,6 +83,35 @@ def test_substrings_random_shared_passages(spark):
     assert sum(x[1] > 0 for x in expected.values()) > 40
 
 
+def test_anchors_are_the_first_least():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 5, substring.PLACES):
+        keys = rng.integers(0, 6, 200).astype(np.uint64)
+        assert substring._first_least(keys, width).tolist() == [s + int(keys[s : s + width].argmin()) for s in range(200 - width + 1)]
+
+
+def test_a_stretch_has_one_name_wherever_it_stands():
+    """Also behind 20 million words, where places once ran out of bits."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 2**63, 200).astype(np.uint64)
+    far = np.concatenate([np.tile(rng.integers(0, 2**63, 1 << 12).astype(np.uint64), 5000), passage])
+    names = [{(int(c), int(b)) for c, b in zip(core, body, strict=True)} for _, _, core, body in (substring.stretches_of([passage])[0], substring.stretches_of([far])[0])]
+    assert len(far) > 1 << 24 and len(names[0] & names[1]) >= len(names[0]) - 2 > 5
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_words_in_blocks(most):
+    for d, t in documents():
+        t = (t or "").encode()
+        assert [w for block in text.word_blocks(t, most) for w in block] == t.split()
+
+
+def test_drop_repeats_with_clashing_names(spark):
+    base = " ".join(words(80, 1))
+    docs = spark.createDataFrame([(1, base, "a", 1, 2, "k"), (2, "x " + base, "b", 3, 4, "l")], "doc_id long, text string, MARK string, _id int, row_id int, kept string")
+    assert sorted(tuple(r) for r in substring.drop_repeats(docs).collect()) == [(1, base, "a", 1, 2, "k"), (2, "x", "b", 3, 4, "l")]
+
+
 def test_drop_repeats_keeps_columns_and_clean_rows(spark):
     rows = documents()
     docs = frame(spark, rows)
