@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tessera.llm")
 
 from tessera.llm import decontam, minhash, packing, substring, text  # noqa: E402
+from tessera.operators.components import connected_components  # noqa: E402
 
 
 def words(n, seed, vocabulary=4000):
@@ -170,6 +171,39 @@ def test_near_duplicates_of_a_hot_group(spark, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(rows)
 
 
+def test_a_common_frame_makes_no_cluster(spark):
+    """300 texts that share 60 of 135 words (similarity 0.26) don't flow together before they are compared."""
+    frame_words = words(60, 321)
+    rows = [(d, " ".join(frame_words + words(75, 7000 + d, 10**6))) for d in range(300)]
+    rows += [(1000 + d, " ".join(frame_words + words(75, 7000 + d, 10**6)[:-1] + ["end"])) for d in range(40)]
+    docs = frame(spark, rows)
+    sig = minhash.signatures(docs, "doc_id", "text", 5)
+    classes = sig.select(F.col("doc_id").alias("rep"), "a", "b", "sketch")
+    largest = [connected_components(minhash.pointers(classes, least)).groupBy("component").count().agg(F.max("count")).first()[0] for least in (0, minhash.LIKELY)]
+    assert largest[0] > 100 and largest[1] <= 4
+    assert sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str) == brute_components(rows)
+
+
+def test_pairs_at_the_threshold_become_candidates(spark):
+    """Of pairs with a similarity of 0.80 to 0.82 at least 99 in 100 stand in one candidate cluster."""
+    rng = random.Random(19)
+    rows = []
+    for k in range(300):
+        base = words(180, 20_000 + k, 10**6)
+        near, far = list(base), 0
+        while True:
+            trial = list(near)
+            trial[rng.randrange(len(trial))] = f"y{rng.randrange(10**9)}"
+            s, t = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, trial))
+            if len(s & t) < 0.8 * len(s | t):
+                break
+            near = trial
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    sig = minhash.signatures(frame(spark, rows), "doc_id", "text", 5)
+    found = {(r["a"], r["b"]) for r in minhash.pointers(sig.select(F.col("doc_id").alias("rep"), "a", "b", "sketch")).collect()}
+    assert sum((2 * k + 1, 2 * k) in found for k in range(300)) >= 297
+
+
 def test_drop_near_duplicates(spark):
     docs = frame(spark, documents())
     out = minhash.drop_near_duplicates(docs)
