@@ -167,8 +167,8 @@ def test_coordinate_descent_finds_the_separating_feature():
     assert m.score(np.array([0, 3])) > 0.8 > 0.2 > m.score(np.array([1, 3]))
 
 
-@pytest.mark.parametrize(("block", "cell"), [(embed.BLOCK, embed.CELL), (16, 20)])
-def test_embeddings_match_brute_force(spark, block, cell):
+@pytest.mark.parametrize(("block", "cell", "most"), [(embed.BLOCK_BYTES, embed.CELL, embed.MOST_CELLS), (16 * 128, 20, 512), (64 * 128, 5, 9)])
+def test_embeddings_match_brute_force(spark, block, cell, most):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
     v = [base[k % 60] + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.14, 0.2]) for k in range(300)]
@@ -191,7 +191,7 @@ def test_embeddings_match_brute_force(spark, block, cell):
                 links[use[i][0]] += 1
                 a, b = find(use[i][0]), find(use[j][0])
                 root[max(a, b)] = min(a, b)
-    got = embed.near_duplicates(df, block=block, cell=cell).collect()
+    got = embed.near_duplicates(df, block_bytes=block, cell=cell, most_cells=most).collect()
     assert len(got) == df.count()
     for r in got:
         k = r["vec_id"]
@@ -203,6 +203,21 @@ def test_embeddings_match_brute_force(spark, block, cell):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_hold_every_link_in_one_place():
+    """Wide vectors, two levels of cells: the home of either end of a link holds the other end."""
+    rng = np.random.default_rng(9)
+    base = embed.unit(rng.normal(size=(40, 64)))
+    x = embed.unit(np.concatenate([base[rng.integers(0, 40, 500)] + rng.normal(size=(500, 64)) * s for s in (0.01, 0.1, 0.3)]))
+    c = embed.spherical_kmeans(x, 12)
+    own = (x @ c.T).argmax(axis=1)
+    cells = embed.Cells(c, [embed.spherical_kmeans(x[own == j], 3) if (own == j).sum() > 6 and j % 3 else None for j in range(12)])
+    row, cell, home = embed._in_parts(x, cells, float(np.sqrt(1 - 0.98**2)) + 1e-9)
+    at, of = dict(zip(row[home].tolist(), cell[home].tolist(), strict=True)), set(zip(row.tolist(), cell.tolist(), strict=True))
+    i, j = np.nonzero(x @ x.T >= 0.98)
+    assert len(at) == home.sum() == len(x) and len(i) > 3000 and len(row) < 12 * len(x)
+    assert all((b, at[a]) in of for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_page_layout():
     page = """<html><head><title>t</title><style>p{}</style></head><body><h1>Head &amp; tail</h1><p>one<p>two <b>bold</b>
     text<br>next<ul><li>a<li>b<ol start=3><li>x</ol></ul><table><tr><th>k<th>value<tr><td>long key<td>1</table>
