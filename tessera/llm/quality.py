@@ -2,7 +2,8 @@
 
 A text's features are the distinct hashed n-grams of its words (single words and pairs) and of their
 shapes (single shapes and pairs; a shape writes a run of capitals as X, of other letters as x, of
-digits as 9), and the patterns AA, A.A and AAA of words that repeat at once. An indicator is scaled
+digits as 9), and the patterns AA, A.A and AAA of words that repeat at once, whichever words they
+are. An indicator is scaled
 by r = log of the ratio of its smoothed shares in both classes, the vector is scaled to length one,
 and a linear model with hinge loss is fitted by dual coordinate descent. Margins become
 probabilities by a logistic curve fitted to margins of rows left out.
@@ -13,7 +14,8 @@ every row and the whole text.
 
 Defined cases: a null or empty text has no features and scores the curve at the bias; labels other
 than 0 and 1 and null ids teach nothing; with labels of one class only every score is that class;
-repeated rows are scored alike; other columns pass through ``keep_good`` untouched.
+repeated rows are scored alike; an empty table gives no rows; other columns pass through ``keep_good``
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import U64, chunks, held_out, walk
+from tessera.llm.text import U64, chunks, free_name, held_out, walk
 
 BITS = 18
 PER_CLASS = 2500
@@ -194,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
     return train([values[at[k] : at[k + 1]] for k in rows], good[rows], float(share))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
-    """``docs`` with the score of every whole text."""
+def score(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the score of every whole text in a new column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.withColumn(name, F.lit(0.0))
 
@@ -211,10 +213,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_s
 
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    scored = score(docs.select("doc_id", "text"), fit(docs, labels), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("_score") >= threshold).drop("_score")
+    name = free_name(docs.columns, "score")
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= threshold).drop(name)

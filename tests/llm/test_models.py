@@ -1,14 +1,18 @@
 """Chat, URLs, languages, embeddings, pages and quality."""
 
 import hashlib
+import math
 import random
 import re
 import time
+import zlib
 from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
@@ -140,6 +144,70 @@ def test_languages_held_out(spark):
     assert langid.predict(docs.filter("lang is null")).first()["lang_pred"] == "und"
 
 
+def literal_languages(rows, keep_words, keep_grams):
+    """The method read literally over (doc_id, text, lang): a dict of counts for each language."""
+    split = lambda t: regex.findall(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    grams = lambda w, n: [w[k : k + n] for k in range(len(w))] if n == 1 else [f"_{w}_"[k : k + n] for k in range(len(w) + 3 - n)]
+    counts = {}
+    for d, t, lang in rows:
+        if d is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            for w in split(t):
+                for n, g in [(0, w)] + [(n, g) for n in range(1, 6) for g in grams(w, n)]:
+                    c = counts.setdefault((n, g), {})
+                    c[lang] = c.get(lang, 0) + 1
+    langs = sorted({x for c in counts.values() for x in c})
+    sums = {(n, x): sum(c.get(x, 0) for (m, _), c in counts.items() if m == n) for n in range(6) for x in langs}
+    kept = set()
+    for x in langs:
+        order = sorted((-c[x], n, g) for (n, g), c in counts.items() if x in c)
+        kept |= {(n, g) for _, n, g in [o for o in order if o[1] == 0][:keep_words] + [o for o in order if o[1] > 0][:keep_grams]}
+    kinds = [sum(n == m for m, _ in counts) for n in range(6)]
+    weight = {k: [math.log((counts[k].get(x, 0) + 0.5) / (sums[k[0], x] + 0.5 * kinds[k[0]])) for x in langs] for k in kept}
+    out = {}
+    for d, t, _ in rows:
+        words, total = split(t), [0.0] * len(langs)
+        for w in words:
+            levels = [[(0, w)]] + [[(n, g) for g in grams(w, n)] for n in range(5, 0, -1)]
+            found = next(([k for k in level if k in weight] for level in levels if any(k in weight for k in level)), [])
+            for k in found:
+                middle = sum(weight[k]) / len(langs)
+                total = [a + (b - middle) / len(found) for a, b in zip(total, weight[k], strict=True)]
+        p = [math.exp((a - max(total)) / len(words) ** 0.5) for a in total] if words else []
+        out[d] = (langs[p.index(max(p))], max(p) / sum(p)) if words else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize(("keep_words", "keep_grams"), [(10**6, 10**6), (150, 400)])
+def test_languages_equal_a_literal_model(spark, keep_words, keep_grams):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, keep_words=keep_words, keep_grams=keep_grams)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    expected = literal_languages([tuple(r) for r in docs.collect()], keep_words, keep_grams)
+    assert len(got) == len(expected) == 200
+    for d, (lang, score) in expected.items():
+        assert got[d]["lang_pred"] == lang and got[d]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_rare_languages_keep_their_share(spark):
+    """120 languages, of which one has a single document among thousands of words of others."""
+    letters = [chr(0x4E00 + 50 * k) for k in range(120)]
+    rows = [(8 * k + j, " ".join(f"{x}{chr(97 + (i * (j + 3)) % 26)}{chr(97 + i % 26)}" for i in range(40)), f"l{k:03}") for k, x in enumerate(letters) for j in range(1 if k == 77 else 8)]
+    rows = [r for r in rows if r[2] != "l077"] + [(10_001, "rare words here" + letters[77], "l077")]
+    assert zlib.crc32(b"10001") % 4 != 2
+    docs = spark.createDataFrame([*rows, (10_007, "rare here", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs).collect()}
+    assert got[10_007] == "l077" and sum(got[d] == lang for d, _, lang in rows) >= 0.98 * len(rows)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.concat(F.lit("x"), F.floor(F.col("id")).cast("string")).alias("lang")).unionByName(spark.range(500, 1200).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))))
+
+
+def test_long_texts_are_scored_in_strips(monkeypatch):
+    m = langid.Model(["x", "y"], {"aa": 0}, {"_b": 1, "b": 2}, np.array([[1.0, 0], [0, 2], [0, 3]]))
+    whole = langid.predict_text(m, "aa bz " * 50, {})
+    monkeypatch.setattr(langid, "STRIP", 7)
+    assert langid.predict_text(m, "aa bz " * 50, {}) == pytest.approx(whole)
+
+
 def test_word_first_then_shorter_grams():
     m = langid.Model(["x", "y"], {"aa": 0}, {"_b": 1, "b": 2, "bcd": 3}, np.array([[1.0, 0], [2, 0], [3, 0], [4, 0]]))
     assert m.back_off("bcd") == (3,) and m.back_off("bz") == (1,) and m.back_off("zzz") == ()
@@ -161,6 +229,82 @@ def test_quality_held_out(spark):
     assert quality.predict(docs.limit(0), labels).count() == 0 and quality.predict(docs, labels.limit(0)).count() == docs.count()
 
 
+def literal_quality(rows, labels):
+    """The method read literally: features one by one, coordinates one by one, in plain Python numbers."""
+    mask, bits = (1 << 64) - 1, quality.BITS
+    salts = [int(x) for x in quality._SALTS]
+
+    def features(t):
+        w = [xxhash.xxh3_64_intdigest(x.lower()) for x in (t or "").split()]
+        s = [xxhash.xxh3_64_intdigest("\0" + quality._shape(x)) for x in (t or "").split()]
+        grams = [x * salts[0] for x in w] + [x * salts[1] for x in s]
+        grams += [(a * salts[2] + b) * salts[0] for a, b in zip(w, w[1:], strict=False)] + [(a * salts[3] + b) * salts[0] for a, b in zip(s, s[1:], strict=False)]
+        again = [any(a == b for a, b in zip(w, w[1:], strict=False)), any(a == b for a, b in zip(w, w[2:], strict=False)), any(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False))]
+        grams += [(k + 1) * salts[0] for k in range(3) if again[k]]
+        return sorted({(g & mask) >> (64 - bits) for g in grams})
+
+    def fit(x, y):
+        good, bad = {}, {}
+        for f, c in zip(x, y, strict=True):
+            for g in f:
+                (good if c else bad)[g] = (good if c else bad).get(g, 1) + 1
+        n = [(1 << bits) + sum(v - 1 for v in d.values()) for d in (good, bad)]
+        ratio = lambda g: math.log(good.get(g, 1) / n[0]) - math.log(bad.get(g, 1) / n[1])
+        unit = []
+        for f in x:
+            v = {g: ratio(g) for g in f}
+            size = math.sqrt(sum(a * a for a in v.values()))
+            unit.append({g: a / size for g, a in v.items()} if size else v)
+        w, bias, alpha, order = {}, 0.0, [0.0] * len(x), np.arange(len(x))
+        rng = np.random.default_rng(7)
+        for _ in range(quality.EPOCHS):
+            rng.shuffle(order)
+            for i in order:
+                s = 1.0 if y[i] else -1.0
+                slope = s * (sum(w.get(g, 0.0) * a for g, a in unit[i].items()) + bias) - 1.0
+                new = min(max(alpha[i] - slope / (sum(a * a for a in unit[i].values()) + 1.0), 0.0), quality.COST)
+                for g, a in unit[i].items():
+                    w[g] = w.get(g, 0.0) + (new - alpha[i]) * s * a
+                bias, alpha[i] = bias + (new - alpha[i]) * s, new
+
+        def margin(f):
+            size = math.sqrt(sum(ratio(g) ** 2 for g in f))
+            return sum(w.get(g, 0.0) * ratio(g) for g in f) / size + bias if size else bias
+
+        return margin
+
+    known = {d: q for d, q in labels if q in (0, 1) and zlib.crc32(str(d).encode()) % 4 != 2}
+    share = sum(known.values()) / len(known)
+    ids = sorted(((d, known[d] == 1) for d, _ in rows if d in known))
+    ids = [ids[k] for k in np.random.default_rng(11).permutation(len(ids))]
+    texts = dict(rows)
+    x, y = [features(texts[d]) for d, _ in ids], [c for _, c in ids]
+    left = [fit([f for k, f in enumerate(x) if k % quality.FOLDS != fold], [c for k, c in enumerate(y) if k % quality.FOLDS != fold]) for fold in range(quality.FOLDS)]
+    margins = [left[k % quality.FOLDS](f) for k, f in enumerate(x)]
+    good = sum(y) / len(y)
+    slope, cut = quality._curve(np.array(margins), np.array(y), np.array([share / good if c else (1 - share) / (1 - good) for c in y]))
+    margin = fit(x, y)
+    return {d: 1 / (1 + math.exp(-(slope * margin(features(t)) + cut))) for d, t in rows}
+
+
+def test_quality_equals_a_literal_model(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    expected = literal_quality(rows, [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    got = {r["doc_id"]: r for r in quality.predict(docs, labels).collect()}
+    assert len(got) == len(rows) == 200
+    for d, score in expected.items():
+        assert got[d]["score"] == pytest.approx(score, abs=1e-6) and got[d]["predicted"] == (score >= 0.7)
+        assert got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_keep_good_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_score": F.lit("a"), "SCORE": F.lit("b"), "quality": F.lit("c")})
+    kept = quality.keep_good(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.select("_score", "SCORE", "quality").distinct().collect()] == [("a", "b", "c")]
+
+
 def test_coordinate_descent_finds_the_separating_feature():
     rows = [np.array([0, 2 + k % 5]) if k % 2 else np.array([1, 2 + k % 5]) for k in range(60)]
     m = quality.train(rows, np.array([k % 2 == 1 for k in range(60)]), 0.5, bits=3)
