@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import materialise, scratch
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
@@ -49,7 +49,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = materialise(_small_star(_large_star(e).distinct()), "cc")
+        with scratch(e.sparkSession):
+            e = materialise(_small_star(_large_star(e).distinct()), "cc", outlives=True)
         after = _fingerprint(e)
         if after == before:
             break

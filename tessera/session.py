@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +43,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Folders written inside each open ``scratch``, the outermost first.
+_scratches: list[list[str]] = []
+
+
+def materialise(df: DataFrame, label: str, outlives: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
     Everything built on the returned frame sees the same rows even if an executor is lost, because
-    the rows come from files and not from a recomputation.
+    the rows come from files and not from a recomputation. ``outlives``: the files are kept when the
+    innermost ``scratch`` is left.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    open_ = _scratches[: len(_scratches) - outlives]
+    if open_:
+        open_[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was materialised inside: for work whose result is written, too, before."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
