@@ -1,14 +1,16 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
+import os
 import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tessera.llm import quality  # noqa: E402
+from tests.llm.test_models import literal_quality  # noqa: E402
 from tests.llm.test_texts import TOKENIZER, brute_components, brute_hits  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -18,20 +20,20 @@ def rows_of(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     outs = [docs]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, outs[-1], SF)
-        out.write.mode("overwrite").parquet(f"/tmp/tessera-test-{name}")
-        outs.append(spark.read.parquet(f"/tmp/tessera-test-{name}"))
+        out.write.parquet(f"file://{tmp_path}/{name}")
+        outs.append(spark.read.parquet(f"file://{tmp_path}/{name}"))
         if name != "packing":
             assert outs[-1].columns == columns
     first, good, unique, cut, clean = (rows_of(x) for x in outs[:5])
 
-    predicted = {r["doc_id"]: r["predicted"] for r in quality.predict(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-    assert good == {d: t for d, t in first.items() if predicted[d] == 1}
+    scores = literal_quality(list(first.items()), [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()])
+    assert good == {d: t for d, t in first.items() if scores[d] >= 0.7} and len(good) < len(first)
 
     components = {d: kept for d, _, _, kept in brute_components(list(good.items()))}
     assert unique == {d: t for d, t in good.items() if components[d]} and len(unique) < len(good)
@@ -67,3 +69,33 @@ def test_stages(spark):
     packed = outs[5].collect()
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packed} == pieces
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, repeats, a long text, an empty table and clashing columns, through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"{w} {k}" for k, w in enumerate(("the river runs through town and on to the sea " * 3000).split()))
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, " \t\n", "en", "s", 3), (9004, long, "en", "s", len(long)), (None, "one two three", None, "s", 13), (9002, "", "en", "s", 0)], docs.schema)
+    clash = {c: F.lit(k) for k, c in enumerate(("score", "_score", "_gone", "mark", "row_id", "KEPT", "n_words", "spans", "items", "h1", "component_id", "rep", "total", "members"))}
+    wide = docs.unionByName(odd).withColumns(clash)
+    for rows in (wide, wide.limit(0)):
+        out = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = f"file://{tmp_path}/{name}-{rows is wide}"
+            stage(spark, out, SF).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert out.columns == wide.columns
+        kept = {r["doc_id"] for r in out.collect()}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+        assert {r["doc_id"] for r in pieces} == kept and (len(kept) > 100 if rows is wide else not kept)
+        assert out.select(*clash).distinct().count() <= 1
+
+
+def test_run_leaves_only_its_stages(spark):
+    from tessera import session
+
+    folder = session.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SF)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"stage-quality", "stage-near_duplicates", "stage-substrings", "stage-decontamination", "pieces", "packed"}
