@@ -1,8 +1,8 @@
 """Blocking by clusters of reference values: nearest-neighbour and average-linkage clustering.
 
-Clusters are formed on the driver from the reference values alone, of which there are n / k by
-definition; records are assigned in Spark through shared q-grams, so a record meets only the values
-that it could be similar to.
+Nearest-neighbour clusters are formed in Spark; average linkage, which compares all with all, on the
+driver, for a checked number of reference values. Records are assigned through shared q-grams, so a
+record meets only the values that it could be similar to.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tessera.functions.registry import similarity
 from tessera.functions.strings import FIRST_PAD, LAST_PAD, dice_of, laplace_location, qgrams
 from tessera.operators.blocks import shared_blocks
+from tessera.session import materialise
+
+#: Most values for average linkage: a matrix of 288 MB.
+MOST_VALUES = 6000
 
 
 def dice_python(a: str, b: str) -> float:
@@ -47,34 +51,72 @@ def nearest_neighbour_clusters(values: Sequence[str], threshold: float, sim: Cal
     return clusters
 
 
-def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, str], float] = dice_python) -> dict[int, list[str]]:
-    """Merges the two clusters of highest mean similarity until ``clusters`` are left.
+def _dice_matrix(values: Sequence[str]) -> np.ndarray:
+    """Dice of all pairs, from lists of the values that hold each gram."""
+    grams = [[p[i : i + 2] for i in range(len(p) - 1)] for p in (FIRST_PAD + v + LAST_PAD for v in values)]
+    holders: dict[str, list[int]] = {}
+    for i, g in enumerate(grams):
+        for x in set(g):
+            holders.setdefault(x, []).append(i)
+    both = np.zeros((len(values), len(values)))
+    for at in holders.values():
+        both[np.ix_(at, at)] += 1
+    size = np.array([len(g) for g in grams], dtype=float)
+    sim = 2.0 * both / (size[:, None] + size[None, :])
+    code = np.unique(np.array(values, dtype=str), return_inverse=True)[1]
+    sim[code[:, None] == code[None, :]] = 1.0
+    return sim
+
+
+def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, str], float] | None = None, most: int = MOST_VALUES) -> dict[int, list[str]]:
+    """Merges the two clusters of highest mean similarity (by default Dice) until ``clusters`` are left.
 
     Ties go to the first pair; if nothing is similar the first two live clusters merge. A merged
-    cluster gets a new, higher number.
+    cluster gets a new, higher number. Each cluster remembers its best partner among the later ones,
+    so a merge costs one row. A matrix of the values is held here: more than ``most`` are refused.
     """
-    live = {i: [v] for i, v in enumerate(values)}
-    n = 2 * len(values)
-    total = np.zeros((n, n))
-    for i, x in enumerate(values):
-        for j in range(i + 1, len(values)):
-            total[i, j] = total[j, i] = sim(x, values[j])
-    size = np.zeros(n)
-    size[: len(values)] = 1
-    new = len(values)
-    while len(live) > max(1, clusters):
-        ids = np.array(list(live))
-        mean = total[np.ix_(ids, ids)] / np.outer(size[ids], size[ids])
-        mean[np.tril_indices(len(ids))] = -1.0
-        k = int(mean.argmax())
-        i, j = divmod(k, len(ids))
-        a, b = (ids[i], ids[j]) if mean[i, j] > 0 else (ids[0], ids[1])
-        live[new] = live.pop(int(a)) + live.pop(int(b))
-        total[new, :] = total[a, :] + total[b, :]
-        total[:, new] = total[new, :]
-        size[new] = size[a] + size[b]
+    n = len(values)
+    if n > most:
+        raise ValueError(f"{n} values; at most {most} are clustered in one place")
+    total = _dice_matrix(values) if sim is None else np.array([[sim(x, y) for y in values] for x in values], dtype=float).reshape(n, n)
+    members = {i: [v] for i, v in enumerate(values)}
+    ids, size, live = np.arange(n), np.ones(n), np.ones(n, bool)
+    best, partner = np.full(n, -1.0), np.full(n, -1)
+
+    def look(s: int) -> None:
+        later = np.flatnonzero(live & (ids > ids[s]))
+        best[s], partner[s] = -1.0, -1
+        if len(later):
+            mean = total[s, later] / (size[s] * size[later])
+            top = later[mean == mean.max()]
+            best[s], partner[s] = mean.max(), top[ids[top].argmin()]
+
+    for s in range(n):
+        look(s)
+    new = n
+    while live.sum() > max(1, clusters):
+        slots = np.flatnonzero(live)
+        top = slots[best[slots] == best[slots].max()]
+        a = top[ids[top].argmin()]
+        b = partner[a]
+        if best[a] <= 0:
+            a, b = slots[ids[slots].argsort()[:2]]
+        members[new] = members.pop(int(ids[a])) + members.pop(int(ids[b]))
+        total[a, :] += total[b, :]
+        total[:, a] = total[a, :]
+        size[a] += size[b]
+        live[b] = False
+        ids[a] = new
         new += 1
-    return live
+        others = np.flatnonzero(live & (np.arange(n) != a))
+        lost = np.isin(partner[others], (a, b))
+        look(int(a))
+        for s in others[lost]:
+            look(int(s))
+        mean = total[others, a] / (size[others] * size[a])
+        better = ~lost & (mean > best[others])
+        best[others[better]], partner[others[better]] = mean[better], a
+    return {i: members[i] for i in sorted(members)}
 
 
 def clusters_frame(spark: SparkSession, clusters: dict[int, list[str]]) -> DataFrame:
@@ -83,16 +125,70 @@ def clusters_frame(spark: SparkSession, clusters: dict[int, list[str]]) -> DataF
     return spark.createDataFrame([(k, int(c), v) for k, (c, v) in enumerate(rows)], "pos int, cluster int, ref string")
 
 
+def similar_predecessors(refs: DataFrame, threshold: float) -> DataFrame:
+    """(pos, to): the values before each that are most similar to it by Dice, if that is ``threshold`` or more.
+
+    Two values that similar share one of the rarest grams of each: only those are joined on.
+    """
+    grams = refs.select("pos", "ref", qgrams(F.col("ref")).alias("g")).withColumn("size", F.size("g"))
+    each = grams.select("pos", "size", F.explode(F.array_distinct("g")).alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    order = each.join(often, "gram").groupBy("pos", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("order"))
+    # of so many distinct grams all but ``need - 1`` may be missing in the other
+    need = F.ceil(F.lit(threshold) * F.col("size") / (2.0 - threshold) - 1e-9)
+    rare = order.select("pos", F.explode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)).cast("int"))).alias("x")).select("pos", "x.gram")
+    pairs = rare.join(rare.select(F.col("pos").alias("to"), "gram"), "gram").filter("to < pos").select("pos", "to").distinct()
+    right = grams.select(F.col("pos").alias("to"), F.col("ref").alias("other"), F.col("g").alias("og"))
+    sim = F.when(F.col("ref") == F.col("other"), F.lit(1.0)).otherwise(dice_of(F.col("g"), F.col("og")))
+    met = pairs.join(grams, "pos").join(right, "to").select("pos", "to", sim.alias("sim")).filter(F.col("sim") >= threshold)
+    most = met.groupBy("pos").agg(F.max("sim").alias("sim"))
+    return met.join(most, ["pos", "sim"]).select("pos", "to")
+
+
+def nearest_neighbour_frame(refs: DataFrame, threshold: float) -> DataFrame:
+    """``nearest_neighbour_clusters`` over (pos, ref) in Spark, as (pos, cluster, ref); a cluster is named
+    by the position of its first value.
+
+    A value joins the oldest of the clusters where its most similar predecessors are, so its cluster
+    is the least first value that pointers reach; minima are passed on until none moves.
+    """
+    refs = materialise(refs.select("pos", "ref"), "values")
+    to = materialise(similar_predecessors(refs, threshold), "pointers")
+    least = refs.join(to.select("pos").distinct(), "pos", "left_anti").select("pos", F.col("pos").alias("cluster"))
+    known = materialise(least, "firsts")
+    while True:
+        # the pointers of a value lead back, so every round settles at least the next values in line
+        open_ = to.join(known.select(F.col("pos")), "pos", "left_anti")
+        met = open_.join(known.select(F.col("pos").alias("to"), "cluster"), "to", "left")
+        ready = met.groupBy("pos").agg(F.min("cluster").alias("cluster"), F.count_if(F.col("cluster").isNull()).alias("waiting")).filter("waiting = 0")
+        more = materialise(ready.select("pos", "cluster"), "clusters")
+        if more.isEmpty():
+            break
+        known = materialise(known.unionByName(more), "clusters")
+    return refs.join(known, "pos").select("pos", "cluster", "ref")
+
+
 def medoids(clusters: DataFrame, name: str = "dice") -> DataFrame:
-    """(cluster, ref): the member with the highest sum of similarities; ties go to the largest value."""
-    sim = similarity(name)
-    a, b = clusters.select("cluster", F.col("ref").alias("x"), "pos"), clusters.select("cluster", F.col("ref").alias("y"))
-    sums = a.join(b, "cluster").groupBy("cluster", "x", "pos").agg(F.round(F.sum(sim(F.col("x"), F.col("y"))) - 1, 9).alias("s"))
+    """(pos, cluster, ref): the member with the highest sum of similarities; ties go to the largest value.
+
+    By Dice the sums come from counts of each gram and length in a cluster; no pairs are made.
+    """
+    if name == "dice":
+        grams = clusters.select("cluster", F.col("ref").alias("x"), "pos", qgrams(F.col("ref")).alias("g")).withColumn("size", F.size("g"))
+        each = grams.select("cluster", "x", "pos", "size", F.size(F.array_distinct("g")).alias("own"), F.explode(F.array_distinct("g")).alias("gram"))
+        held = each.groupBy("cluster", "gram", F.col("size").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+        met = each.join(held, ["cluster", "gram"]).groupBy("cluster", "x", "pos", "size", "own").agg(F.sum(F.lit(2.0) * F.col("n") / (F.col("size") + F.col("length"))).alias("s"))
+        sums = met.select("cluster", "x", "pos", F.round(F.col("s") - F.col("own") / F.col("size"), 9).alias("s"))
+    else:
+        sim = similarity(name)
+        a, b = clusters.select("cluster", F.col("ref").alias("x"), "pos"), clusters.select("cluster", F.col("ref").alias("y"))
+        sums = a.join(b, "cluster").groupBy("cluster", "x", "pos").agg(F.round(F.sum(sim(F.col("x"), F.col("y"))) - 1, 9).alias("s"))
     return sums.groupBy("cluster").agg(F.max(F.struct("s", "x")).alias("m"), F.min("pos").alias("pos")).select("pos", "cluster", F.col("m.x").alias("ref"))
 
 
 def assign_nearest(keys: DataFrame, refs: DataFrame, nobody: int = -1) -> DataFrame:
-    """(key, cluster, sim): for each distinct key the first of the most similar values, by Dice.
+    """(key, cluster, sim): for each distinct key the first of the most similar values, by Dice; the values
+    stand in the order of their clusters, and in a cluster in that of their positions.
 
     Only values that share a q-gram have a similarity above 0; a key without any goes to ``nobody``.
     """
@@ -102,7 +198,7 @@ def assign_nearest(keys: DataFrame, refs: DataFrame, nobody: int = -1) -> DataFr
     right = r.select("pos", "cluster", "ref", F.size("rg").alias("rn"), F.explode(F.array_distinct("rg")).alias("gram"))
     met = left.join(right, "gram").groupBy("key", "kn", "pos", "cluster", "ref", "rn").agg(F.count(F.lit(1)).alias("both"))
     sim = F.when(F.col("key") == F.col("ref"), F.lit(1.0)).otherwise(F.lit(2.0) * F.col("both") / (F.col("kn") + F.col("rn")))
-    best = met.withColumn("sim", sim).groupBy("key").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.col("sim"), -F.col("pos"))).alias("m"))
+    best = met.withColumn("sim", sim).groupBy("key").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.round("sim", 12), -F.col("cluster"), -F.col("pos"))).alias("m"))
     return k.select("key").join(best, "key", "left").select("key", F.coalesce("m.cluster", F.lit(nobody)).alias("cluster"), F.coalesce("m.sim", F.lit(0.0)).alias("sim"))
 
 
@@ -134,10 +230,11 @@ class HierarchicalClustering:
         return party_keys.join(assign_nearest(party_keys, self.refs, first), "key").select(F.col("cluster").alias("block"), "rec_id", F.lit(False).alias("fake"))
 
     def noise(self, members: DataFrame) -> DataFrame:
-        """(block, fakes): noise from a hash of the block and the seed, so that it can be repeated."""
+        """(block, fakes): noise from an md5 of the seed and the block, so that it can be repeated."""
         sizes = self.refs.select(F.col("cluster").alias("block")).distinct().join(members.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block", "left").na.fill(0, ["n"])
         mean = sizes.agg(F.avg("n").alias("mean")).withColumn("_k", F.lit(1))
-        u = (F.pmod(F.xxhash64("block", F.lit(self.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52) - 0.5
+        digits = F.substring(F.md5(F.concat(F.lit(f"{self.seed}:"), F.col("block").cast("string"))), 1, 13)
+        u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52) - 0.5
         scale = 2.0 / self.epsilon
         drawn = laplace_location(F.col("mean"), self.weight, self.epsilon) - F.lit(scale) * F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u))
         return sizes.withColumn("_k", F.lit(1)).join(mean, "_k").select("block", F.greatest(drawn.cast("int"), F.lit(0)).alias("fakes"))

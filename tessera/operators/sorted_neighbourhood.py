@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,47 +17,49 @@ from pyspark.sql import functions as F
 from tessera.functions.registry import similarity
 from tessera.functions.strings import FIRST_PAD, common_prefix_similarity
 from tessera.operators.blocks import linked_pairs
+from tessera.operators.ranking import in_ranges, ranked
 from tessera.session import materialise
 
-#: Reference values between two split points of an as-of join.
-STEP = 512
-
 
 def reference_index(refs: DataFrame) -> DataFrame:
     """(idx, ref) of ``refs(ref)``, with the sentinel at 0."""
-    rows = refs.select("ref").distinct().select(F.row_number().over(Window.orderBy("ref")).alias("idx"), "ref")
+    rows = ranked(refs.select("ref").distinct(), ["ref"], "idx").select(F.col("idx").cast("int").alias("idx"), "ref")
     return rows.unionByName(rows.sparkSession.range(1).select(F.lit(0).alias("idx"), F.lit(FIRST_PAD).alias("ref")))
 
 
-def assign(keys: DataFrame, index: DataFrame, step: int = STEP) -> DataFrame:
+def assign(keys: DataFrame, index: DataFrame, partitions: int | None = None) -> DataFrame:
     """(key, idx): for each distinct key the largest reference value that isn't above it.
 
-    Keys and values are cut into ranges at every ``step``-th value and swept range by range, so the
-    sort is spread. A range starts at a reference value, hence nothing is carried into it.
+    Keys and values are sorted together in ranges; what is carried into a range is the largest index
+    of the ranges before it.
     """
-    cuts = [r["ref"] for r in index.filter(F.col("idx") % step == 0).orderBy("idx").select("ref").collect()]
-    edges = F.array(*[F.lit(c) for c in cuts])
-    part = lambda c: F.size(F.filter(edges, lambda e: e <= c)).alias("part")
     sweep = index.select(F.col("ref").alias("key"), "idx").unionByName(keys.select("key").distinct().select("key", F.lit(None).cast("int").alias("idx")))
-    order = Window.partitionBy("part").orderBy("key", F.col("idx").isNull())
-    swept = sweep.select("key", "idx", part(F.col("key"))).withColumn("at", F.last("idx", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return swept.filter("idx is null").select("key", F.coalesce("at", F.lit(0)).alias("idx"))
+    parts = in_ranges(sweep, ["key"], partitions)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.groupBy("_part").agg(F.max("idx").alias("idx")).select("_part", F.max("idx").over(earlier).alias("carried"))
+    order = Window.partitionBy("_part").orderBy("key", F.col("idx").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # a row per range, hence the broadcast
+    swept = parts.join(F.broadcast(carried), "_part").withColumn("at", F.last("idx", True).over(order))
+    return swept.filter("idx is null").select("key", F.coalesce("at", "carried", F.lit(0)).alias("idx"))
+
+
+def _beside(index: DataFrame, step: int, name: str) -> DataFrame:
+    """The index with the value ``step`` places further as ``name``."""
+    return index.join(index.select((F.col("idx") - step).alias("idx"), F.col("ref").alias(name)), "idx", "left")
 
 
 def index_sizes(at: DataFrame, index: DataFrame, similarity_name: str = "dice") -> DataFrame:
     """(idx, ref, n, sim): records of ``at(rec_id, idx)`` per reference value, and its similarity to the one before."""
     sized = at.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-    before = F.lag("ref").over(Window.orderBy("idx"))
     near = common_prefix_similarity(F.col("before"), F.col("ref"), similarity(similarity_name))
-    rows = index.withColumn("before", before).withColumn("sim", F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(near))
+    rows = _beside(index, -1, "before").withColumn("sim", F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(near))
     return rows.join(sized, "idx", "left").select("idx", "ref", F.coalesce("n", F.lit(0)).alias("n"), "sim")
 
 
 def next_similarity(index: DataFrame, similarity_name: str = "dice") -> DataFrame:
     """(idx, sim): the similarity of each value's prefix to the next value's."""
-    after = F.lead("ref").over(Window.orderBy("idx"))
     near = common_prefix_similarity(F.col("ref"), F.col("after"), similarity(similarity_name))
-    return index.withColumn("after", after).filter("after is not null").select("idx", near.alias("sim"))
+    return _beside(index, 1, "after").filter("after is not null").select("idx", near.alias("sim"))
 
 
 def fold_by_similarity(rows: Iterable[tuple[int, int, float]], k: int, threshold: float) -> Iterator[tuple[int, int, int]]:
@@ -124,6 +127,21 @@ def fold_by_size(sizes: Sequence[int], k: int) -> list[tuple[int, int, int]]:
     return sorted((lo[i], hi[i], size[i]) for i in range(n) if alive[i])
 
 
+def fold_in_stretches(sizes: Iterable[int], k: int) -> Iterator[tuple[int, int, int]]:
+    """``fold_by_size`` over a stream.
+
+    Two neighbours of ``k`` or more never merge, and neither side of them sees the other: there the
+    stream is cut, and only a stretch between two cuts is held.
+    """
+    held, start = [], 0
+    for n in sizes:
+        if held and n >= k and held[-1] >= k:
+            yield from ((lo + start, hi + start, total) for lo, hi, total in fold_by_size(held, k))
+            start, held = start + len(held), []
+        held.append(n)
+    yield from ((lo + start, hi + start, total) for lo, hi, total in fold_by_size(held, k))
+
+
 def _ranges(sized: DataFrame, how: str, k: int, threshold: float, strict: bool) -> DataFrame:
     """(lo, hi, n): the fold over all reference values, streamed in order through one task.
 
@@ -132,12 +150,9 @@ def _ranges(sized: DataFrame, how: str, k: int, threshold: float, strict: bool)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        if how == "SIM":
-            found = list(fold_by_similarity(rows, k, threshold))
-        else:
-            found = fold_by_size([r[1] for r in rows], k)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["lo", "hi", "n"])
+        found = fold_by_similarity(rows, k, threshold) if how == "SIM" else fold_in_stretches((r[1] for r in rows), k)
+        while part := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=["lo", "hi", "n"])
 
     if how not in ("SIM", "SIZE"):
         raise ValueError(f"SIM or SIZE, not {how}")
@@ -190,9 +205,8 @@ def windows(a_values: DataFrame, b_values: DataFrame, w: int) -> DataFrame:
     right until it holds w values of either party or ends. Fewer than 2w values have no window."""
     flags = a_values.select("ref", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b_values.select("ref", F.lit(0).alias("a"), F.lit(1).alias("b")))
     flags = flags.groupBy("ref").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    order = Window.orderBy("ref")
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    return flags.select("ref", "a", "b", F.row_number().over(order).alias("rn"), F.sum("a").over(up_to).alias("ca"), F.sum("b").over(up_to).alias("cb"), F.count(F.lit(1)).over(Window.partitionBy()).alias("total"))
+    placed = materialise(ranked(flags, ["ref"], "rn", {"ca": "a", "cb": "b"}), "window-values")
+    return placed.withColumn("total", F.lit(placed.count()))
 
 
 def window_ends(ranked: DataFrame, w: int) -> DataFrame:

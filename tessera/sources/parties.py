@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import clean_cell
+from tessera.operators.ranking import ranked
 
 ATTRIBUTES = ("a1", "a2", "a3", "a4")
 
@@ -16,7 +17,8 @@ ATTRIBUTES = ("a1", "a2", "a3", "a4")
 def load_party(spark: SparkSession, path: str, columns: Sequence[str], rec_id: str | None = None, ent_id: str | None = None, header: bool = True) -> DataFrame:
     """A CSV (plain or ``.gz``) as strings: split at every comma, lower-cased, stripped.
 
-    ``columns`` names the positions. Without ``rec_id`` rows are numbered from 0 in file order.
+    ``columns`` names the positions. Without ``rec_id`` rows are numbered from 0 in file order; ids
+    that repeat are refused.
     """
     raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     if header:
@@ -28,16 +30,13 @@ def load_party(spark: SparkSession, path: str, columns: Sequence[str], rec_id: s
         out = number_rows(out, "_at")
     else:
         out = out.withColumn("rec_id", F.col(rec_id))
-    return out.withColumn("ent_id", F.col(ent_id) if ent_id else F.col("rec_id")).drop("_at")
+    out = out.withColumn("ent_id", F.col(ent_id) if ent_id else F.col("rec_id")).drop("_at")
+    return without_repeated_ids(out) if rec_id else out
 
 
 def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """``rec_id`` = position from 0 by ``order``: per-partition counts first, so nothing moves to one task."""
-    cut = df.withColumn("_part", F.shiftright(F.col(order), 33))
-    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return cut.withColumn("_k", inner).join(before, "_part").withColumn("rec_id", (F.col("_before") + F.col("_k")).cast("string")).drop("_part", "_k", "_before")
+    """``rec_id`` = position from 0 by ``order``."""
+    return ranked(df, [order], "rec_id").withColumn("rec_id", (F.col("rec_id") - 1).cast("string"))
 
 
 def repeated_ids(party: DataFrame) -> DataFrame:
@@ -45,6 +44,19 @@ def repeated_ids(party: DataFrame) -> DataFrame:
     return party.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def without_repeated_ids(party: DataFrame) -> DataFrame:
+    """The party; a ValueError that names some of them if ids occur more than once."""
+    if found := [r["rec_id"] for r in repeated_ids(party).orderBy("rec_id").limit(5).collect()]:
+        raise ValueError(f"record ids that occur more than once: {found}")
+    return party
+
+
+def load_parties(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], rec_id: str) -> DataFrame:
+    """Parties out of one CSV each, by the column that holds their ids, as one table with ``party`` from 0."""
+    parts = [load_party(spark, path, columns, rec_id).withColumn("party", F.lit(k)) for k, path in enumerate(paths)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     """A result table: CSV with a header, types inferred."""
     return spark.read.csv(path, header=True, inferSchema=True)
@@ -58,31 +70,31 @@ def key_of(attributes: Sequence[str]) -> Column:
 def sample_values(keys: DataFrame, n: int, seed: int = 0) -> list[str]:
     """``n`` distinct values of ``keys(key)``, drawn in proportion to how often each occurs.
 
-    Draws are repeated, and repeats rejected, by a seeded generator over values in ascending order.
+    Each value waits for a time that is exponential at the rate of its frequency, by a seeded hash; the
+    first ``n`` to come are the draws without repeats. Only they reach the driver.
     """
-    rows = sorted((r["key"], r["n"]) for r in keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect())
-    if n > len(rows):
-        raise ValueError(f"{n} distinct values wanted, {len(rows)} there")
-    values, weights = [r[0] for r in rows], [r[1] for r in rows]
-    rng, out = random.Random(seed), {}
-    while len(out) < n:
-        out.setdefault(rng.choices(values, weights)[0])
-    return list(out)
+    u = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", (-F.log(u) / F.col("n")).alias("wait"))
+    out = [r["key"] for r in drawn.orderBy("wait", "key").limit(n).collect()]
+    if len(out) < n:
+        raise ValueError(f"{n} distinct values wanted, {len(out)} there")
+    return out
 
 
 def hashed_values(keys: DataFrame, n: int, salt: str = "") -> DataFrame:
     """``n`` distinct values of ``keys(key)`` by the order of their salted md5, as (pos, ref): a sample that SQL can repeat."""
-    order = [F.md5(F.concat(F.lit(salt), F.col("key"))), F.col("key")]
-    first = keys.select("key").distinct().orderBy(*order).limit(n)
-    return first.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), F.col("key").alias("ref"))
+    values = keys.select("key").distinct().select(F.col("key").alias("ref"), F.md5(F.concat(F.lit(salt), F.col("key"))).alias("_hash"))
+    placed = ranked(values, ["_hash", "ref"], "pos")
+    return placed.filter(F.col("pos") <= n).select((F.col("pos") - 1).cast("int").alias("pos"), "ref")
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person-like rows out of ``documents``: two words, a place and a code."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")), " ")
-    word = lambda k: F.lower(F.coalesce(F.get(words, F.lit(k)), F.lit("")))
-    return docs.select("doc_id", word(0).alias("a1"), word(1).alias("a2"), F.coalesce("lang", F.lit("")).alias("a3"), F.coalesce("source", F.lit("")).alias("a4"))
+    # the first two runs of letters; no text is searched further
+    word = lambda p: F.lower(F.coalesce(F.regexp_extract("text", p, 1), F.lit("")))
+    first, second = r"^[^A-Za-z]*+([A-Za-z]++)", r"^[^A-Za-z]*+[A-Za-z]++[^A-Za-z]++([A-Za-z]++)"
+    return docs.select("doc_id", word(first).alias("a1"), word(second).alias("a2"), F.coalesce("lang", F.lit("")).alias("a3"), F.coalesce("source", F.lit("")).alias("a4"))
 
 
 def _party(rows: DataFrame) -> DataFrame:
