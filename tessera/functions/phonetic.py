@@ -13,7 +13,7 @@ _RULES = [(re.compile(p), r) for p, r in (
     (r"[^A-Z]", ""), (r"([^C])\1+", r"\1"), (r"^(KN|GN|PN|AE|WR)", lambda m: m[0][1]), (r"^X", "S"), (r"X", "KS"), (r"^WH", "W"), (r"MB$", "M"),
     (r"SCH", "SK"), (r"TCH", "CH"), (r"(?<!S)CIA", "XIA"), (r"CH", "X"), (r"C(?=[IEY])", "S"), (r"C", "K"), (r"DG(?=[EIY])", "J"), (r"D", "T"),
     (r"GH(?=[^AEIOU]|$)", ""), (r"GN(ED)?$", "N"), (r"G(?=[IEY])", "J"), (r"G", "K"), (r"(?<=[AEIOU])H(?![AEIOU])", ""), (r"(?<=[CSPTG])H", "H"),
-    (r"CK", "K"), (r"PH", "F"), (r"Q", "K"), (r"S(?=I[OA])|SH", "X"), (r"T(?=I[OA])", "X"), (r"TH", "0"), (r"V", "F"),
+    (r"PH", "F"), (r"Q", "K"), (r"S(?=I[OA])|SH", "X"), (r"T(?=I[OA])", "X"), (r"TH", "0"), (r"V", "F"),
     (r"W(?![AEIOU])", ""), (r"Y(?![AEIOU])", ""), (r"Z", "S"), (r"(?<!^)[AEIOU]", ""), (r"([A-Z0])\1+", r"\1"),
 )]
 

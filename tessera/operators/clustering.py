@@ -69,7 +69,7 @@ def _dice_matrix(values: Sequence[str]) -> np.ndarray:
 
 
 def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, str], float] | None = None, most: int = MOST_VALUES) -> dict[int, list[str]]:
-    """Merges the two clusters of highest mean similarity (by default Dice) until ``clusters`` are left.
+    """Merges the two clusters of highest mean similarity (by default Dice, to nine places) until ``clusters`` are left.
 
     Ties go to the first pair; if nothing is similar the first two live clusters merge. A merged
     cluster gets a new, higher number. Each cluster remembers its best partner among the later ones,
@@ -87,7 +87,7 @@ def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, st
         later = np.flatnonzero(live & (ids > ids[s]))
         best[s], partner[s] = -1.0, -1
         if len(later):
-            mean = total[s, later] / (size[s] * size[later])
+            mean = np.round(total[s, later] / (size[s] * size[later]), 9)
             top = later[mean == mean.max()]
             best[s], partner[s] = mean.max(), top[ids[top].argmin()]
 
@@ -113,7 +113,7 @@ def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, st
         look(int(a))
         for s in others[lost]:
             look(int(s))
-        mean = total[others, a] / (size[others] * size[a])
+        mean = np.round(total[others, a] / (size[others] * size[a]), 9)
         better = ~lost & (mean > best[others])
         best[others[better]], partner[others[better]] = mean[better], a
     return {i: members[i] for i in sorted(members)}

@@ -115,12 +115,17 @@ class LambdaFoldLsh:
     length: int = 2000
     hashes: int = 30
     seed: int = 0
+    #: A column of set bits that parties bring along, instead of filters made of the attributes.
+    clks: str | None = None
 
     def samples(self) -> list[list[int]]:
         rng = random.Random(self.seed)
         return [rng.sample(range(self.length), self.bits) for _ in range(self.folds)]
 
     def index(self, party: DataFrame) -> DataFrame:
+        if self.clks:
+            keys = bit_strings(F.col(self.clks), self.samples(), self.length)
+            return party.select(F.explode(F.transform(keys, lambda k, i: F.concat(i.cast("string"), F.lit("_"), k))).alias("block"), "rec_id")
         filters = value_filters(party.select(*self.attributes).distinct(), self.attributes, [self.length], self.hashes)
         keyed = filters.select(*self.attributes, bit_strings(F.col("bits"), self.samples(), self.length).alias("keys"))
         keyed = keyed.withColumn("keys", F.transform("keys", lambda k, i: F.concat(i.cast("string"), F.lit("_"), k)))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def block_stats(members: DataFrame) -> DataFrame:
-    """One row: min_blk, med_blk, max_blk (1 at least), avg_blk, std_dev (of the population), num_blocks."""
-    n = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(
+def block_stats(members: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of ``by``: min_blk, med_blk, max_blk (1 at least), avg_blk, std_dev (of the population), num_blocks."""
+    n = members.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*by).agg(
         F.min("n").alias("min_blk"),
         F.percentile("n", 0.5).alias("med_blk"),
         F.greatest(F.max("n"), F.lit(1)).alias("max_blk"),
@@ -21,10 +21,10 @@ def block_stats(members: DataFrame) -> DataFrame:
     )
 
 
-def blocks_per_record(members: DataFrame) -> DataFrame:
-    """One row: min_bpr, max_bpr, avg_bpr; null for a party without blocks."""
-    n = members.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.min("n").alias("min_bpr"), F.max("n").alias("max_bpr"), F.avg("n").alias("avg_bpr"))
+def blocks_per_record(members: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of ``by``: min_bpr, max_bpr, avg_bpr; null for a party without blocks."""
+    n = members.groupBy(*by, "rec_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*by).agg(F.min("n").alias("min_bpr"), F.max("n").alias("max_bpr"), F.avg("n").alias("avg_bpr"))
 
 
 def total_pairs(shared: DataFrame) -> DataFrame:

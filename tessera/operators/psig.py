@@ -65,7 +65,7 @@ class PSignature:
 @dataclass
 class ConfiguredSignature:
     """Signatures from a configuration: ``signatureSpecs`` of ``characters-at`` and ``metaphone`` parts,
-    and a ``filter`` of type ``ratio`` or ``count``."""
+    a ``filter`` of type ``ratio`` or ``count``, and a ``blocking-filter`` that two parties have in common."""
 
     config: Mapping[str, object]
     columns: Sequence[str] = ATTRIBUTES
@@ -82,6 +82,18 @@ class ConfiguredSignature:
             return F.concat(*[characters_at(c, p) for p in part["config"]["pos"]])
         raise ValueError(f"unknown signature part {kind}")
 
+    def index_both(self, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Memberships of two parties, of signatures that the common Bloom filter holds if there is one."""
+        ma, mb = self.index(a), self.index(b)
+        f = self.config.get("blocking-filter")
+        if not f:
+            return ma, mb
+        if f["type"] != "bloom filter":
+            raise ValueError(f"unknown blocking filter {f['type']}")
+        hashes, length = int(f["number-hash-functions"]), int(f["bf-len"])
+        bits = common_bits(ma, mb, hashes, length)
+        return in_common_filter(ma, bits, hashes, length), in_common_filter(mb, bits, hashes, length)
+
     def index(self, party: DataFrame) -> DataFrame:
         specs = self.config["signatureSpecs"]
         keys = [F.concat(F.lit(f"{k}_"), *[self._part(p) for p in spec]) for k, spec in enumerate(specs)]

@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 from tessera.functions import strings
 from tessera.operators import clustering, hlsh, metrics, multiparty, psig
 from tessera.operators import sorted_neighbourhood as sn
-from tessera.operators.blocks import candidate_pairs, frequency_filter, linked_pairs, shared_blocks
+from tessera.operators.blocks import candidate_pairs, frequency_filter, shared_blocks
+from tessera.operators.ranking import ranked
 from tessera.plans import fixture_sql as S
-from tessera.plans import reports
+from tessera.plans import experiments, reports
+from tessera.session import materialise
 from tessera.sources import parties, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-LOW, HIGH = 1, 60
-#: The reference's upper limits are shares of Alice's records: one, and those of its sweep.
+LOW = 1
+#: Upper limits of a block as shares of Alice's records: one, and those of the sweep.
 SHARE, SHARES = 0.05, (0.02, 0.03, 0.04, 0.05, 0.06, 0.07)
-N_REFS, K = 30, 10
+HIGH = S.share_of(SHARE)
+#: Least records of a block; a reference value for as many records; least similarity in a cluster.
+K, MIN_SIM = 10, 0.8
 BITS, LENGTH, HASHES = 12, 97, 5
-LAYOUT = hlsh.Layout.make((61, 67), (60, 40), 10, 6, 42)
-FOLD = hlsh.LambdaFoldLsh(("a1", "a2"), folds=4, bits=8, length=LENGTH, hashes=3)
+#: Of Hamming LSH: hashes, sampled shares of the attributes' filters, bits of a key, iterations, seed.
+H_HASHES, H_SAMPLE, H_BITS, H_ITERATIONS, H_SEED = 30, (60, 40), 45, 40, 42
+FOLD = hlsh.LambdaFoldLsh(("a1", "a2"))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -48,13 +53,18 @@ def _keys(party: DataFrame) -> DataFrame:
     return party.select("rec_id", parties.key_of(["a1", "a2"]).alias("key"))
 
 
-def _refs(spark: SparkSession, sf_dir: str, n: int = N_REFS) -> DataFrame:
-    return parties.hashed_values(parties.reference_keys(spark, sf_dir), n)
+def _n_refs(spark: SparkSession, sf_dir: str) -> int:
+    return -(-max(p.count() for p in parties.two_parties(spark, sf_dir)) // K)
+
+
+def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, ref), written: it is read for indexes, clusters and assignments."""
+    return materialise(parties.hashed_values(parties.reference_keys(spark, sf_dir), _n_refs(spark, sf_dir)), "references")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     a, b = parties.two_parties(spark, sf_dir)
-    method = psig.PSignature(S.SIGNATURES, LOW, HIGH)
+    method = psig.PSignature(S.SIGNATURES, LOW, int(SHARE * a.count()))
     return a, b, method.index(a), method.index(b)
 
 
@@ -199,11 +209,11 @@ def psig_blocks_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_(S.PARTIES)
     + """, ka AS (SELECT k || '_' || s AS block, rec_id FROM (SELECT 0 AS k, substr(a1, 1, 1) || substr(a2, 1, 2) AS s, rec_id FROM alice UNION ALL SELECT 1, a2 || substr(a1, 2, 2), rec_id FROM alice))
-       SELECT block, rec_id FROM ka WHERE block IN (SELECT block FROM ka GROUP BY block HAVING count(*) BETWEEN 2 AND 50)"""
+       SELECT block, rec_id FROM ka WHERE block IN (SELECT block FROM ka GROUP BY block HAVING count(*) > (SELECT floor(0.002::DOUBLE * count(*)) FROM alice) AND count(*) <= (SELECT floor(0.05::DOUBLE * count(*)) FROM alice))"""
 )
 def psig_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda f, *pos: {"type": "characters-at", "feature": f, "config": {"pos": list(pos)}}
-    config = {"signatureSpecs": [[at("a1", 0), at("a2", "0:2")], [{"type": "feature-value", "feature": "a2"}, at("a1", "1:3")]], "filter": {"type": "count", "min": 2, "max": 50}}
+    config = {"signatureSpecs": [[at("a1", 0), at("a2", "0:2")], [{"type": "feature-value", "feature": "a2"}, at("a1", "1:3")]], "filter": {"type": "ratio", "min": 0.002, "max": 0.05}}
     return psig.ConfiguredSignature(config).index(parties.two_parties(spark, sf_dir)[0])
 
 
@@ -264,9 +274,7 @@ def largest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") SELECT row_number() OVER (ORDER BY risk, rec_id) AS at, risk FROM risks"
 )
 def risk_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return disclosure_risk(spark, sf_dir).select(F.row_number().over(Window.orderBy("risk", "rec_id")).cast("long").alias("at"), "risk")
+    return ranked(disclosure_risk(spark, sf_dir), ["risk", "rec_id"], "at").select("at", "risk")
 
 
 @query(
@@ -289,7 +297,7 @@ def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reference values and sorted neighbourhoods
 
-_REFS = (S.PARTIES, S.refs(N_REFS), S.indexed("refs"))
+_REFS = (S.PARTIES, S.refs(S.n_refs(K)), S.indexed("refs"))
 _ASOF = "below AS (SELECT key, max(idx) AS idx FROM (SELECT DISTINCT key FROM {0}) JOIN indexed ON ref <= key OR idx = 0 GROUP BY key)"
 _PREFIX = "substr({0}, 1, (3 * least(length({1}), length({2}))) // 4)"
 
@@ -298,7 +306,7 @@ def _near(a: str, b: str) -> str:
     return S.dice(_PREFIX.format(a, a, b), _PREFIX.format(b, a, b))
 
 
-@query(with_(S.PARTIES, S.refs(N_REFS)) + "SELECT pos, ref FROM refs")
+@query(with_(S.PARTIES, S.refs(S.n_refs(K))) + "SELECT pos, ref FROM refs")
 def ref_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
 
@@ -338,20 +346,32 @@ def _recursive(*parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join(parts) + " "
 
 
-def _three(spark: SparkSession, sf_dir: str, how: str = "SIM") -> tuple[DataFrame, DataFrame, sn.SortedNeighbourhood, DataFrame, DataFrame]:
-    a, b = parties.two_parties(spark, sf_dir)
-    method = sn.SortedNeighbourhood(_refs(spark, sf_dir), K, how=how)
-    return a, b, method, method.index(_keys(a)), method.index(_keys(b))
+def _three(spark: SparkSession, sf_dir: str, how: str = "SIM") -> tuple[DataFrame, DataFrame, sn.SortedNeighbourhood]:
+    return *parties.two_parties(spark, sf_dir), sn.SortedNeighbourhood(_refs(spark, sf_dir), K, MIN_SIM, how)
 
 
 @query(_recursive(*_REFS, _folded("alice", "a")) + "SELECT block, lo, hi, rec_id FROM members_a")
 def sn3p_sim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _three(spark, sf_dir)[3]
+    a, _, method = _three(spark, sf_dir)
+    return method.index(_keys(a))
 
 
-@query()
+#: The fold by size as a recursive query over one list of ranges: of the smallest below K, the oldest
+#: merges into the smaller of its neighbours, the later one if they are equal.
+_BY_SIZE = f"""asof_s AS (SELECT key, max(idx) AS idx FROM (SELECT DISTINCT key FROM alice) JOIN indexed ON ref <= key OR idx = 0 GROUP BY key),
+sized_s AS (SELECT i.idx, count(p.rec_id) AS n FROM indexed i LEFT JOIN (SELECT rec_id, idx FROM alice JOIN asof_s USING (key)) p ON p.idx = i.idx GROUP BY i.idx),
+fold_s AS (SELECT 0::BIGINT AS step, list({{'n': n, 'age': idx::BIGINT, 'lo': idx::BIGINT, 'hi': idx::BIGINT}} ORDER BY idx) AS r, count(*)::BIGINT AS clock FROM sized_s
+    UNION ALL SELECT step + 1, list_concat(list_concat(r[1:into_ - 1], [{{'n': r[into_].n + r[into_ + 1].n, 'age': clock, 'lo': r[into_].lo, 'hi': r[into_ + 1].hi}}]), r[into_ + 2:]), clock + 1
+    FROM (SELECT step, r, clock, CASE WHEN place = 1 THEN 1 WHEN place = len(r) THEN place - 1 WHEN r[place - 1].n < r[place + 1].n THEN place - 1 ELSE place END AS into_
+        FROM (SELECT step, r, clock, smallest['n'] AS least, smallest['place'] AS place
+            FROM (SELECT step, r, clock, list_sort(list_transform(range(1, len(r) + 1), lambda i: {{'n': r[i].n, 'age': r[i].age, 'place': i}}))[1] AS smallest FROM fold_s)) WHERE least < {K} AND len(r) > 1)),
+ranges_s AS (SELECT x.lo AS lo, x.hi AS hi FROM (SELECT unnest(r) AS x FROM fold_s WHERE step = (SELECT max(step) FROM fold_s)))"""
+
+
+@query(_recursive(*_REFS, _BY_SIZE) + "SELECT lo AS block, lo, hi, rec_id FROM alice JOIN asof_s USING (key) JOIN ranges_s ON idx BETWEEN lo AND hi")
 def sn3p_size_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _three(spark, sf_dir, "SIZE")[3]
+    a, _, method = _three(spark, sf_dir, "SIZE")
+    return method.index(_keys(a))
 
 
 _SN3P = _recursive(*_REFS, _folded("alice", "a"), _folded("bob", "b"))
@@ -359,9 +379,9 @@ _SN3P = _recursive(*_REFS, _folded("alice", "a"), _folded("bob", "b"))
 
 @query(_SN3P + "SELECT DISTINCT a.lo AS a_block, b.lo AS b_block FROM ranges_a a JOIN ranges_b b ON greatest(a.lo - 1, 0) <= b.hi AND b.lo <= a.hi + 1 WHERE a.n > 0 AND b.n > 0")
 def sn3p_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, method, ma, mb = _three(spark, sf_dir)
+    a, b, method = _three(spark, sf_dir)
     method.overlap = 1
-    return method.match(ma, mb)
+    return method.match(method.index(_keys(a)), method.index(_keys(b)))
 
 
 _SN3P_PAIRS = ", pairs AS (SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM members_a x JOIN members_b y ON x.lo <= y.hi AND y.lo <= x.hi) "
@@ -369,14 +389,14 @@ _SN3P_PAIRS = ", pairs AS (SELECT DISTINCT x.rec_id AS a, y.rec_id AS b FROM mem
 
 @query(_SN3P + _SN3P_PAIRS + S.assessment("pairs"))
 def sn3p_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, method, ma, mb = _three(spark, sf_dir)
-    return metrics.assess(a, b, method.pairs(ma, mb))
+    a, b, method = _three(spark, sf_dir)
+    return metrics.assess(a, b, method.pairs(method.index(_keys(a)), method.index(_keys(b))))
 
 
 _TWO = (
     S.PARTIES,
-    S.refs(N_REFS, "refs_a", "alice", "a"),
-    S.refs(N_REFS, "refs_b", "bob", "b"),
+    S.refs(S.n_refs(K), "refs_a", "alice", "a"),
+    S.refs(S.n_refs(K), "refs_b", "bob", "b"),
     S.indexed("refs_a", "indexed_a"),
     S.indexed("refs_b", "indexed_b"),
 )
@@ -389,8 +409,9 @@ ends AS (SELECT start, min(e.rn) AS stop FROM starts s, ranked e WHERE e.rn >= s
 
 def _two_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     a, b = parties.two_parties(spark, sf_dir)
-    ra = parties.hashed_values(_keys(a), N_REFS, "a")
-    rb = parties.hashed_values(_keys(b), N_REFS, "b")
+    n = _n_refs(spark, sf_dir)
+    ra = materialise(parties.hashed_values(_keys(a), n, "a"), "references")
+    rb = materialise(parties.hashed_values(_keys(b), n, "b"), "references")
     return a, b, ra, rb
 
 
@@ -429,44 +450,65 @@ def sn2p_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- Hamming and Lambda-fold LSH
 
 
-def _hlsh() -> hlsh.HammingLsh:
-    return hlsh.HammingLsh(("a1", "a2"), LAYOUT.lengths, (60, 40), 10, 6, HASHES, 42)
+def _hlsh(a: DataFrame, b: DataFrame) -> hlsh.HammingLsh:
+    """Filter lengths come from the parties' values."""
+    return hlsh.HammingLsh(("a1", "a2"), hlsh.filter_lengths(a, b, ["a1", "a2"], H_HASHES), H_SAMPLE, H_BITS, H_ITERATIONS, H_HASHES, H_SEED)
 
 
 def _key_sql(k: int, sample: tuple[int, ...] | list[int]) -> str:
     return f"'{k}_' || array_to_string(list_transform({S.literal(sample)}, lambda p: CASE WHEN list_contains(bf, p) THEN '1' ELSE '0' END), '')"
 
 
+def _layouts(means: range) -> str:
+    """What the seed draws for each pair of mean lengths of the attributes, for the SQL to choose from."""
+    rows = []
+    for m1 in means:
+        for m2 in means:
+            lengths = [strings.bloom_length(m, H_HASHES, 0.5) for m in (m1, m2)]
+            drawn = hlsh.Layout.make(lengths, H_SAMPLE, H_BITS, H_ITERATIONS, H_SEED)
+            rows.append(f"SELECT {m1} AS m1, {m2} AS m2, {lengths[0]} AS l1, {lengths[1]} AS l2, {S.literal(drawn.places(0))} AS p1, {S.literal(drawn.places(1))} AS p2, [{', '.join(map(S.literal, drawn.samples))}] AS samples")
+    return " UNION ALL ".join(rows)
+
+
+_LAYOUT = (
+    "means AS (" + ORACLES["attr_avg_len"].removeprefix(with_(S.PARTIES)).replace(", firsts AS (", "WITH firsts AS (", 1).lstrip() + ")",
+    "layout AS (SELECT l.* FROM (" + _layouts(range(3, 6)) + ") l JOIN means ON a1 = m1 AND a2 = m2)",
+)
+
+
 def _hlsh_rows(party: str, tag: str) -> str:
-    part = lambda k: f"list_transform({S.filter_bits(f'a{k + 1}', HASHES, LAYOUT.lengths[k])}, lambda b: ({S.literal(LAYOUT.places(k))})[b + 1])"
-    keys = ", ".join(_key_sql(k, s) for k, s in enumerate(LAYOUT.samples))
-    return f"bf_{tag} AS (SELECT a1, a2, list_concat({part(0)}, {part(1)}) AS bf FROM (SELECT DISTINCT a1, a2 FROM {party})), h{tag} AS (SELECT unnest([{keys}]) AS block, rec_id FROM {party} JOIN bf_{tag} USING (a1, a2))"
+    part = lambda k: f"list_transform({S.filter_bits(f'a{k}', H_HASHES, f'l{k}')}, lambda b: p{k}[b + 1])"
+    key = "t || '_' || array_to_string(list_transform(samples[t + 1], lambda p: CASE WHEN list_contains(bf, p) THEN '1' ELSE '0' END), '')"
+    return f"""bf_{tag} AS (SELECT a1, a2, samples, list_concat({part(1)}, {part(2)}) AS bf FROM (SELECT DISTINCT a1, a2 FROM {party}), layout),
+h{tag} AS (SELECT {key} AS block, rec_id FROM {party} JOIN bf_{tag} USING (a1, a2), unnest(range(0, {H_ITERATIONS})) AS u(t))"""
 
 
-@query(with_(S.PARTIES, _hlsh_rows("alice", "a")) + "SELECT block, rec_id FROM ha")
+@query(with_(S.PARTIES, *_LAYOUT, _hlsh_rows("alice", "a")) + "SELECT block, rec_id FROM ha")
 def hlsh_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hlsh().index(parties.two_parties(spark, sf_dir)[0])
+    a, b = parties.two_parties(spark, sf_dir)
+    return _hlsh(a, b).index(a)
 
 
-_HLSH = with_(S.PARTIES, _hlsh_rows("alice", "a"), _hlsh_rows("bob", "b"))
+_HLSH = with_(S.PARTIES, *_LAYOUT, _hlsh_rows("alice", "a"), _hlsh_rows("bob", "b"))
 
 
 @query(_HLSH + "SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM ha GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM hb GROUP BY block) USING (block)")
 def hlsh_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    method = _hlsh()
-    return method.match(*(method.index(p) for p in parties.two_parties(spark, sf_dir)))
+    a, b = parties.two_parties(spark, sf_dir)
+    method = _hlsh(a, b)
+    return method.match(method.index(a), method.index(b))
 
 
 @query(_HLSH.rstrip() + ", pairs AS (SELECT DISTINCT ha.rec_id AS a, hb.rec_id AS b FROM ha JOIN hb USING (block)) " + S.assessment("pairs"))
 def hlsh_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = parties.two_parties(spark, sf_dir)
-    method = _hlsh()
+    method = _hlsh(a, b)
     return metrics.assess(a, b, candidate_pairs(method.index(a), method.index(b)))
 
 
 def _fold_rows(party: str, tag: str) -> str:
     keys = ", ".join(_key_sql(k, s) for k, s in enumerate(FOLD.samples()))
-    bf = f"list_distinct(list_concat({S.filter_bits('a1', 3, LENGTH)}, {S.filter_bits('a2', 3, LENGTH)}))"
+    bf = "list_distinct(list_concat(" + ", ".join(S.filter_bits(c, FOLD.hashes, FOLD.length) for c in FOLD.attributes) + "))"
     return f"bf_{tag} AS (SELECT a1, a2, {bf} AS bf FROM (SELECT DISTINCT a1, a2 FROM {party})), l{tag} AS (SELECT unnest([{keys}]) AS block, rec_id FROM {party} JOIN bf_{tag} USING (a1, a2))"
 
 
@@ -483,86 +525,132 @@ def lambda_fold_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- clustering of reference values
 
 
-def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each reference value as a cluster of its own."""
-    return _refs(spark, sf_dir).select(F.col("pos").cast("int").alias("pos"), F.col("pos").cast("int").alias("cluster"), "ref")
+def _nearest(party: str, tag: str, values: str) -> str:
+    return f"""sim_{tag} AS (SELECT key, pos, cluster, {S.dice("key", "ref")} AS sim FROM (SELECT DISTINCT key FROM {party}), {values}),
+best_{tag} AS (SELECT key, arg_max(cluster, (round(sim, 12), -cluster, -pos)) AS cluster, max(sim) AS sim FROM sim_{tag} GROUP BY key),
+n{tag} AS (SELECT CASE WHEN sim > 0 THEN cluster ELSE -1 END AS block, rec_id, sim FROM {party} JOIN best_{tag} USING (key))"""
 
 
-def _nearest(party: str, tag: str) -> str:
-    return f"""sim_{tag} AS (SELECT key, pos, {S.dice("key", "ref")} AS sim FROM (SELECT DISTINCT key FROM {party}), refs),
-best_{tag} AS (SELECT key, arg_max(pos, (round(sim, 12), -pos)) AS pos, max(sim) AS sim FROM sim_{tag} GROUP BY key),
-n{tag} AS (SELECT CASE WHEN sim > 0 THEN pos ELSE -1 END AS block, rec_id, sim FROM {party} JOIN best_{tag} USING (key))"""
+#: Each value points at its most similar predecessors; its cluster is the oldest first value it reaches.
+_GROWN = f"""before AS (SELECT x.pos, y.pos AS prev, {S.dice("x.ref", "y.ref")} AS sim FROM refs x JOIN refs y ON y.pos < x.pos),
+pointers AS (SELECT pos, prev FROM before WHERE sim >= {MIN_SIM} QUALIFY sim = max(sim) OVER (PARTITION BY pos)),
+reach AS (SELECT pos, pos AS prev FROM refs UNION SELECT r.pos, p.prev FROM reach r JOIN pointers p ON p.pos = r.prev),
+clusters AS (SELECT pos, ref, cluster FROM refs JOIN (SELECT pos, min(prev) AS cluster FROM reach WHERE prev NOT IN (SELECT pos FROM pointers) GROUP BY pos) USING (pos)),
+sums AS (SELECT x.cluster, x.ref, round(sum({S.dice("x.ref", "y.ref")}) - 1, 9) AS s FROM clusters x JOIN clusters y ON x.cluster = y.cluster GROUP BY x.cluster, x.ref),
+centers AS (SELECT cluster, cluster AS pos, arg_max(ref, (s, ref)) AS ref FROM sums GROUP BY cluster)"""
+_GROWING = _recursive(S.PARTIES, S.refs(S.n_refs(K)), _GROWN)
+_KNN = _GROWING.rstrip() + ", " + _nearest("alice", "a", "centers") + ", " + _nearest("bob", "b", "centers") + " "
 
 
-_KNN = with_(S.PARTIES, S.refs(N_REFS), _nearest("alice", "a"), _nearest("bob", "b"))
+def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(clustering.medoids(clustering.nearest_neighbour_frame(_refs(spark, sf_dir), MIN_SIM)), "centers")
+
+
+@query(_GROWING + "SELECT pos, cluster, ref FROM clusters")
+def knn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.nearest_neighbour_frame(_refs(spark, sf_dir), MIN_SIM)
+    return found.select(F.col("pos").cast("long").alias("pos"), F.col("cluster").cast("long").alias("cluster"), "ref")
+
+
+@query(_GROWING + "SELECT cluster, ref FROM centers")
+def knn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _centers(spark, sf_dir).select(F.col("cluster").cast("long").alias("cluster"), "ref")
 
 
 @query(_KNN + "SELECT rec_id, block, round(sim, 6) AS sim FROM na")
 def knn_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(parties.two_parties(spark, sf_dir)[0])
-    best = clustering.assign_nearest(keys, _single(spark, sf_dir))
+    best = clustering.assign_nearest(keys, _centers(spark, sf_dir))
     return keys.join(best, "key").select("rec_id", F.col("cluster").cast("long").alias("block"), F.round("sim", 6).alias("sim"))
 
 
 @query(_KNN + f"SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM na GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM nb GROUP BY block) USING (block) WHERE na >= {K} AND nb >= {K}")
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    method = clustering.NearestNeighbour(_single(spark, sf_dir), K)
+    method = clustering.NearestNeighbour(_centers(spark, sf_dir), K)
     return method.match(*(method.index(_keys(p)) for p in parties.two_parties(spark, sf_dir))).withColumn("block", F.col("block").cast("long"))
 
 
-@query(_KNN.rstrip() + f", ok AS (SELECT block FROM na GROUP BY block HAVING count(*) >= {K} INTERSECT SELECT block FROM nb GROUP BY block HAVING count(*) >= {K}), pairs AS (SELECT DISTINCT na.rec_id AS a, nb.rec_id AS b FROM na JOIN nb USING (block) WHERE block IN (SELECT block FROM ok)) " + S.assessment("pairs"))
+_KEPT = "ok AS (SELECT block FROM na GROUP BY block HAVING count(*) >= {0} INTERSECT SELECT block FROM nb GROUP BY block HAVING count(*) >= {0})"
+
+
+@query(_KNN.rstrip() + ", " + _KEPT.format(K) + ", pairs AS (SELECT DISTINCT na.rec_id AS a, nb.rec_id AS b FROM na JOIN nb USING (block) WHERE block IN (SELECT block FROM ok)) " + S.assessment("pairs"))
 def knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = parties.two_parties(spark, sf_dir)
-    method = clustering.NearestNeighbour(_single(spark, sf_dir), K)
-    ma, mb = method.index(_keys(a)), method.index(_keys(b))
+    method = clustering.NearestNeighbour(_centers(spark, sf_dir), K)
+    ma, mb = (materialise(method.index(_keys(p)), "members") for p in (a, b))
     kept = method.match(ma, mb).select("block")
     return metrics.assess(a, b, candidate_pairs(ma.join(kept, "block", "left_semi"), mb.join(kept, "block", "left_semi")))
 
 
-@query()
-def knn_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = [r["ref"] for r in _refs(spark, sf_dir).orderBy("pos").collect()]
-    found = clustering.nearest_neighbour_clusters(values, 0.3)
-    return clustering.clusters_frame(spark, dict(enumerate(found)))
+_KS = (3, 10, 20, 50, 100)
 
 
 @query(
-    with_(S.PARTIES, S.refs(N_REFS))
-    + f""", c AS (SELECT pos, pos % 6 AS cluster, ref FROM refs), s AS (SELECT x.cluster, x.ref, round(sum({S.dice("x.ref", "y.ref")}) - 1, 9) AS s FROM c x JOIN c y ON x.cluster = y.cluster GROUP BY x.cluster, x.ref)
-       SELECT cluster, arg_max(ref, (s, ref)) AS ref FROM s GROUP BY cluster"""
+    _KNN.rstrip()
+    + ", shared AS (SELECT block, na, nb FROM (SELECT block, count(*) AS na FROM na GROUP BY block) JOIN (SELECT block, count(*) AS nb FROM nb GROUP BY block) USING (block)) "
+    + " UNION ALL ".join(f"SELECT {k} AS k, coalesce(sum(na * nb), 0)::BIGINT AS cand_total, count(*) AS num_blocks FROM shared WHERE na >= {k} AND nb >= {k}" for k in _KS)
 )
-def knn_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = _single(spark, sf_dir).withColumn("cluster", F.col("pos") % 6)
-    return clustering.medoids(fixed).select(F.col("cluster").cast("long").alias("cluster"), "ref")
-
-
-@query()
+def knn_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    method = clustering.NearestNeighbour(_centers(spark, sf_dir), 0)
+    shared = materialise(method.match(*(method.index(_keys(p)) for p in parties.two_parties(spark, sf_dir))), "shared")
+    return reduce(DataFrame.unionByName, [metrics.total_pairs(shared.filter((F.col("na") >= k) & (F.col("nb") >= k))).select(F.lit(k).alias("k"), "cand_total", "num_blocks") for k in _KS])
+
+
+#: Average linkage as a recursive query: a row for each value with its cluster's number, and at each
+#: step the pair of clusters that is most alike, the first of equal ones, gets a new number.
+_LINKED = f"""alike AS (SELECT x.pos AS i, y.pos AS j, {S.dice("x.ref", "y.ref")} AS sim FROM refs x JOIN refs y ON x.pos <> y.pos),
+total AS (SELECT count(*) AS r, greatest(count(*) // 3, 1) AS wanted FROM refs),
+linked AS (SELECT 0::BIGINT AS step, pos::BIGINT AS cluster, pos FROM refs
+    UNION ALL SELECT l.step + 1, CASE WHEN l.cluster IN (p.x, p.y) THEN r + l.step ELSE l.cluster END, l.pos
+    FROM linked l, total, (SELECT a.cluster AS x, b.cluster AS y FROM linked a JOIN alike ON i = a.pos JOIN linked b ON j = b.pos WHERE a.cluster < b.cluster
+        GROUP BY a.cluster, b.cluster ORDER BY round(avg(sim), 9) DESC, x, y LIMIT 1) p
+    WHERE r - l.step > wanted),
+clusters AS (SELECT l.pos, cluster, ref FROM linked l JOIN refs ON refs.pos = l.pos WHERE step = (SELECT max(step) FROM linked))"""
+_LINKING = _recursive(S.PARTIES, S.refs(S.n_refs(K)), _LINKED)
+_HCLUST = _LINKING.rstrip() + ", " + _nearest("alice", "a", "clusters") + ", " + _nearest("bob", "b", "clusters") + ", firsts AS (SELECT min(cluster) AS one FROM clusters) "
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, cluster, ref); the values come to the driver, which refuses too many."""
+    rows = _refs(spark, sf_dir).orderBy("pos").limit(clustering.MOST_VALUES + 1).collect()
+    found = clustering.average_linkage([r["ref"] for r in rows], len(rows) // 3)
+    place = {r["ref"]: r["pos"] for r in rows}
+    return spark.createDataFrame([(place[v], c, v) for c, members in found.items() for v in members], "pos int, cluster int, ref string")
+
+
+@query(_LINKING + "SELECT pos, cluster, ref FROM clusters")
 def hclust_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = [r["ref"] for r in _refs(spark, sf_dir).orderBy("pos").collect()]
-    return clustering.clusters_frame(spark, clustering.average_linkage(values, N_REFS // 3))
+    return _linked(spark, sf_dir).select(F.col("pos").cast("long").alias("pos"), F.col("cluster").cast("long").alias("cluster"), "ref")
 
 
-@query(_KNN + "SELECT rec_id, CASE WHEN block < 0 THEN 0 ELSE block END AS block FROM na")
+@query(_HCLUST + "SELECT rec_id, CASE WHEN block < 0 THEN one ELSE block END AS block FROM na, firsts")
 def hclust_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(parties.two_parties(spark, sf_dir)[0])
-    return clustering.HierarchicalClustering(_single(spark, sf_dir)).index(keys).select("rec_id", F.col("block").cast("long").alias("block"))
+    return clustering.HierarchicalClustering(_linked(spark, sf_dir)).index(keys).select("rec_id", F.col("block").cast("long").alias("block"))
 
 
 @query(
-    _KNN
-    + """SELECT pos AS block, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM refs LEFT JOIN (SELECT greatest(block, 0) AS pos, count(*) AS na FROM na GROUP BY 1) USING (pos)
-       LEFT JOIN (SELECT greatest(block, 0) AS pos, count(*) AS nb FROM nb GROUP BY 1) USING (pos)"""
+    _HCLUST
+    + """SELECT block, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM (SELECT DISTINCT cluster AS block FROM clusters)
+       LEFT JOIN (SELECT CASE WHEN block < 0 THEN one ELSE block END AS block, count(*) AS na FROM na, firsts GROUP BY 1) USING (block)
+       LEFT JOIN (SELECT CASE WHEN block < 0 THEN one ELSE block END AS block, count(*) AS nb FROM nb, firsts GROUP BY 1) USING (block)"""
 )
 def hclust_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    method = clustering.HierarchicalClustering(_single(spark, sf_dir))
+    method = clustering.HierarchicalClustering(_linked(spark, sf_dir))
     ma, mb = (method.padded(method.index(_keys(p))) for p in parties.two_parties(spark, sf_dir))
     return method.match(ma, mb).withColumn("block", F.col("block").cast("long"))
 
 
-@query()
+@query(
+    _HCLUST
+    + """, sizes AS (SELECT block, coalesce(n, 0) AS n FROM (SELECT DISTINCT cluster AS block FROM clusters)
+        LEFT JOIN (SELECT CASE WHEN block < 0 THEN one ELSE block END AS block, count(*) AS n FROM na, firsts GROUP BY 1) USING (block)),
+       drawn AS (SELECT block, (('0x' || substr(md5('7:' || block), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE - 0.5::DOUBLE AS u, (SELECT avg(n) FROM sizes) AS mean FROM sizes)
+       SELECT block, greatest(trunc((-2.0::DOUBLE / 0.3::DOUBLE) * ln(2.0::DOUBLE * mean / (mean + 10.0::DOUBLE)) - (2.0::DOUBLE / 0.3::DOUBLE) * sign(u) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(u)))::INT, 0) AS fakes FROM drawn"""
+)
 def hclust_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    method = clustering.HierarchicalClustering(_single(spark, sf_dir))
-    return method.noise(method.index(_keys(parties.two_parties(spark, sf_dir)[0])))
+    method = clustering.HierarchicalClustering(_linked(spark, sf_dir))
+    return method.noise(method.index(_keys(parties.two_parties(spark, sf_dir)[0]))).select(F.col("block").cast("long").alias("block"), "fakes")
 
 
 # ---------------------------------------------------------------- many parties
@@ -609,37 +697,24 @@ def mp_set_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiparty.set_completeness(truth, multiparty.blocks_of_at_least(members, 5), 4)
 
 
-# ---------------------------------------------------------------- sweeps and reports
-
-_SWEPT = with_("sweep AS (SELECT 'psig' AS \"Method\", *, 0.5::DOUBLE * drop_limit AS dbo_time, 0.25::DOUBLE * drop_limit AS lu_time FROM ({0}))")
-
-
-def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of the frequency sweep, with times that stand for measured ones."""
-    rows = drop_limit_metrics(spark, sf_dir)
-    return rows.select(F.lit("psig").alias("Method"), "*", (F.lit(0.5) * F.col("drop_limit")).alias("dbo_time"), (F.lit(0.25) * F.col("drop_limit")).alias("lu_time"))
-
+@query(
+    _MANY.rstrip()
+    + """ SELECT party, min(n) AS min_blk, quantile_cont(n, 0.5)::DOUBLE AS med_blk, greatest(max(n), 1) AS max_blk, avg(n) AS avg_blk, round(stddev_pop(n), 6) AS std_dev, count(*) AS num_blocks
+       FROM (SELECT party, block, count(*) AS n FROM members GROUP BY party, block) GROUP BY party"""
+)
+def mp_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = metrics.block_stats(_many(spark, sf_dir)[1], "party")
+    return stats.withColumns({"party": F.col("party").cast("long"), "std_dev": F.round("std_dev", 6)})
 
-_LIMITS = (10, 30, 60, 120)
 
+# ---------------------------------------------------------------- sweeps and reports
 
 def _one_of(sql: str, name: str, value: object) -> str:
     return f"SELECT {value} AS {name}, * FROM ({sql})"
 
 
-@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, h), "s AS (" + ORACLES["psig_blocks"].removeprefix(_SIGNED) + ")") + "SELECT coalesce(sum(na * nb), 0)::BIGINT AS cand_total, count(*) AS num_blocks FROM s", "drop_limit", h) for h in _LIMITS))
-def sweep_drop_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (psig.signatures(p, S.SIGNATURES) for p in parties.two_parties(spark, sf_dir))
-    rows = [metrics.total_pairs(shared_blocks(frequency_filter(a, LOW, h), frequency_filter(b, LOW, h))).select(F.lit(h).alias("drop_limit"), "cand_total", "num_blocks") for h in _LIMITS]
-    return reduce(DataFrame.unionByName, rows)
-
-
-@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, h), _PAIRS) + S.assessment("pairs"), "drop_limit", h) for h in _LIMITS))
-def drop_limit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = parties.two_parties(spark, sf_dir)
-    sa, sb = (psig.signatures(p, S.SIGNATURES) for p in (a, b))
-    rows = [metrics.assess(a, b, candidate_pairs(frequency_filter(sa, LOW, h), frequency_filter(sb, LOW, h))).select(F.lit(h).alias("drop_limit"), "*") for h in _LIMITS]
-    return reduce(DataFrame.unionByName, rows)
+def _at_share(share: float) -> str:
+    return with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, S.share_of(share)), _PAIRS) + S.assessment("pairs")
 
 
 def _by_share(spark: SparkSession, sf_dir: str, shares: tuple[float, ...]) -> DataFrame:
@@ -649,42 +724,101 @@ def _by_share(spark: SparkSession, sf_dir: str, shares: tuple[float, ...]) -> Da
     return reduce(DataFrame.unionByName, rows)
 
 
-@query()
+@query(_one_of(_at_share(SHARE), "drop_ratio", f"{SHARE}::DOUBLE"))
 def psig_share_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_share(spark, sf_dir, (SHARE,))
 
 
-@query()
+@query(" UNION ALL ".join(_one_of(_at_share(x), "drop_ratio", f"{x}::DOUBLE") for x in SHARES))
 def drop_ratio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_share(spark, sf_dir, SHARES)
 
 
-@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + 'SELECT "Method", round(avg(pc), 9) AS mean_pc, round(stddev_pop(pc), 9) AS std_pc FROM sweep GROUP BY "Method"')
+@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(S.SIGNATURES, LOW, S.share_of(x)), "s AS (" + ORACLES["psig_blocks"].removeprefix(_SIGNED) + ")") + "SELECT coalesce(sum(na * nb), 0)::BIGINT AS cand_total, count(*) AS num_blocks FROM s", "drop_ratio", f"{x}::DOUBLE") for x in SHARES))
+def sweep_drop_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    sa, sb, n = psig.signatures(a, S.SIGNATURES), psig.signatures(b, S.SIGNATURES), a.count()
+    rows = [metrics.total_pairs(shared_blocks(*(frequency_filter(m, LOW, int(x * n)) for m in (sa, sb)))).select(F.lit(x).alias("drop_ratio"), "cand_total", "num_blocks") for x in SHARES]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_SWEPT = with_("sweep AS (SELECT 'psig' AS \"Method\", * FROM (" + ORACLES["drop_ratio_metrics"] + "))")
+
+
+@query(_SWEPT + 'SELECT "Method", round(avg(pc), 9) AS mean_pc, round(stddev_pop(pc), 9) AS std_pc FROM sweep GROUP BY "Method"')
 def report_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.variance(_swept(spark, sf_dir)).select("Method", F.round("mean_pc", 9).alias("mean_pc"), F.round("std_pc", 9).alias("std_pc"))
+    rows = drop_ratio_metrics(spark, sf_dir).withColumn("Method", F.lit("psig"))
+    return reports.variance(rows).select("Method", F.round("mean_pc", 9).alias("mean_pc"), F.round("std_pc", 9).alias("std_pc"))
 
 
-@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + 'SELECT "Method", na AS alice_num_recs, sum(dbo_time + lu_time) AS total_time FROM sweep GROUP BY "Method", na')
+@query()
 def report_scalability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.scalability(_swept(spark, sf_dir).withColumnRenamed("na", "alice_num_recs"))
+    """Measured times of signature blocking over a quarter, half and all of the records."""
+    a, b = parties.two_parties(spark, sf_dir)
+    rows = []
+    for quarters in (1, 2, 4):
+        pa, pb = (p.filter(F.pmod(F.xxhash64("ent_id"), F.lit(4)) < quarters) for p in (a, b))
+        method = psig.PSignature(S.SIGNATURES, LOW, int(SHARE * pa.count()))
+        rows.append(experiments.run_experiment(spark, "psig", pa, pb, lambda m=method, p=pa: m.index(p), lambda m=method, p=pb: m.index(p)))
+    return reports.scalability(reduce(DataFrame.unionByName, rows))
 
 
-@query(_SWEPT.replace("{0}", ORACLES["drop_limit_metrics"]) + "SELECT round(corr(rr, pc), 6) AS correlation FROM sweep")
-def report_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.correlation(_swept(spark, sf_dir), "rr", "pc").select(F.round("correlation", 6).alias("correlation"))
+_RATIOS = tuple(round(0.01 + 0.01 * k / 19, 6) for k in range(20))
+#: Two first letters, the first two letters of either word, and of the place.
+_GUARANTEED = ("0,0:1,0", "0,0:0,1", "1,0:1,1", "2,0:2,1")
+
+
+def _guaranteed(share: float) -> str:
+    rows = with_(S.PARTIES, S.signed(_GUARANTEED, 0, S.share_of(share)), _PAIRS).rstrip()
+    return f"""{rows}, scores AS ({S.assessment("pairs")}), sizes AS (SELECT block, count(*)::DOUBLE AS n FROM ka GROUP BY block), each_ AS (SELECT rec_id, count(*) AS q FROM ka GROUP BY rec_id)
+       SELECT round(1.0::DOUBLE - (SELECT max(n) FROM sizes) / na, 9) AS "RG_MAX", round(1.0::DOUBLE - (SELECT avg(n) FROM sizes) / na, 9) AS "RG_AVG", round(1.0::DOUBLE - (SELECT min(n) FROM sizes) / na, 9) AS "RG_MIN",
+       rr AS "RR", pc AS "PC", (SELECT max(q) FROM each_) AS "QG_MAX", round((SELECT avg(q) FROM each_), 9) AS "QG_AVG" FROM scores"""
 
 
-_SUBSETS = [c for n in (1, 2, 3) for c in combinations(("0,0:0,1:1,0", "1,0:1,1:1,2", "0,*"), n)]
+@query(" UNION ALL ".join(_one_of(_guaranteed(x), '"MAX_RATIO"', f"{x}::DOUBLE") for x in _RATIOS))
+def guarantee_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parties.two_parties(spark, sf_dir)
+    members = [materialise(psig.signatures(p, _GUARANTEED), "members") for p in (a, b)]
+    out = experiments.guarantee_sweep(a, b, *members, _RATIOS)
+    return out.withColumns({c: F.round(c, 9) for c in ("RG_MAX", "RG_AVG", "RG_MIN", "QG_AVG")})
 
 
-@query(" UNION ALL ".join(_one_of(with_(S.PARTIES, S.signed(c, LOW, HIGH), _PAIRS) + S.assessment("pairs"), "signatures", "'" + "|".join(c) + "'") for c in _SUBSETS))
+@query('SELECT round(corr("RG_AVG", "RR"), 6) AS correlation FROM (' + ORACLES["guarantee_sweep"] + ")")
+def report_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.correlation(guarantee_sweep(spark, sf_dir), "RG_AVG", "RR").select(F.round("correlation", 6).alias("correlation"))
+
+
+#: The signatures of which every one to four are tried together, and the shares of their limits.
+_TRIED = ("1,0:1,1:0,0:0,1", "1,0:1,1:3,0:3,1:3,2:3,3", "1,0:1,1:2,0:2,1:2,2:3,0:3,1:3,2:3,3", "3,0:3,1:3,2:3,3", "1,0:1,1:2,*:3,*", "1,q3:3,q3")
+_TRIED_HIGH, _TRIED_LOW = 0.015, 0.0002
+
+
+def _tried_sql() -> str:
+    grams = lambda c, i: f"unnest(CASE WHEN length({c}) < 3 THEN [{c}] ELSE list_transform(range(1, length({c}) - 1), lambda i: substr({c}, i, 3) || '_{i}') END)"
+    rows = lambda t: " UNION ALL ".join([f"SELECT {k} AS sig, {S.signature(x)} AS block, rec_id FROM {t}" for k, x in enumerate(_TRIED[:5])] + [f"SELECT 5, {grams(f'a{i + 1}', i)}, rec_id FROM {t}" for i in (1, 3)])
+    subsets = [c for n in range(1, 5) for c in combinations(range(6), n)]
+    chosen = ", ".join(f"('{'|'.join(_TRIED[k] for k in c)}', {k})" for c in subsets for k in c)
+    high, low = S.share_of(_TRIED_HIGH), f"greatest({S.share_of(_TRIED_LOW)}, 1)"
+    kept = lambda t: f"SELECT * FROM (SELECT signatures, block, rec_id, count(*) OVER (PARTITION BY signatures, block) AS n FROM {t} JOIN chosen USING (sig)) WHERE n > {low} AND n <= {high}"
+    size = lambda t: f"(SELECT signatures, min(n) AS min_{t}_size, quantile_cont(n, 0.5)::DOUBLE AS med_{t}_size, max(n) AS max_{t}_size, round(avg(n), 6) AS avg_{t}_size, round(stddev_pop(n), 6) AS std_{t}_size FROM (SELECT signatures, block, count(*) AS n FROM k{t} GROUP BY ALL) GROUP BY signatures)"
+    each = lambda t: f"(SELECT signatures, min(n) AS min_{t}_bpr, max(n) AS max_{t}_bpr, round(avg(n), 6) AS avg_{t}_bpr FROM (SELECT signatures, rec_id, count(*) AS n FROM k{t} GROUP BY ALL) GROUP BY signatures)"
+    return (
+        with_(S.PARTIES, f"chosen(signatures, sig) AS (VALUES {chosen})", f"sa AS ({rows('alice')})", f"sb AS ({rows('bob')})", f"ka AS ({kept('sa')})", f"kb AS ({kept('sb')})").rstrip()
+        + """, met AS (SELECT signatures, count(*) AS cand, count(*) FILTER (a = b) AS hit FROM (SELECT DISTINCT ka.signatures, ka.rec_id AS a, kb.rec_id AS b FROM ka JOIN kb ON ka.signatures = kb.signatures AND ka.block = kb.block) GROUP BY signatures),
+       n AS (SELECT (SELECT count(*) FROM alice) AS na, (SELECT count(*) FROM bob) AS nb, (SELECT count(*) FROM alice JOIN bob USING (ent_id)) AS t)
+       SELECT s.signatures, 1.0::DOUBLE - coalesce(cand, 0) / (na * nb) AS rr, CASE WHEN t > 0 THEN coalesce(hit, 0)::DOUBLE / t ELSE -1.0 END AS pc, CASE WHEN cand > 0 THEN hit::DOUBLE / cand ELSE -1.0 END AS pq,
+       """
+        + ", ".join(f"{m}_{t}_{x}" for x, ms in (("bpr", ("min", "max", "avg")), ("size", ("min", "med", "max", "avg", "std"))) for t in "ab" for m in ms)
+        + " FROM (SELECT DISTINCT signatures FROM chosen) s CROSS JOIN n LEFT JOIN met USING (signatures) "
+        + " ".join(f"LEFT JOIN {f(t)} USING (signatures)" for f in (size, each) for t in "ab")
+    )
+
+
+@query(_tried_sql())
 def sig_subset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = parties.two_parties(spark, sf_dir)
-    rows = []
-    for c in _SUBSETS:
-        method = psig.PSignature(c, LOW, HIGH)
-        rows.append(metrics.assess(a, b, candidate_pairs(method.index(a), method.index(b))).select(F.lit("|".join(c)).alias("signatures"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+    n = a.count()
+    return experiments.subset_sweep(a, b, _TRIED, 4, max(int(_TRIED_LOW * n), 1), int(_TRIED_HIGH * n))
 
 
 @query(

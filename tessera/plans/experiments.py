@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import hlsh, metrics, multiparty, psig
-from tessera.operators.blocks import candidate_pairs
+from tessera.operators.blocks import candidate_pairs, frequency_filter
 from tessera.session import materialise
+from tessera.sources.parties import ATTRIBUTES
 from tessera.sources.sinks import block_lines, result_row
 
 Pairs = Callable[[DataFrame, DataFrame], DataFrame]
@@ -37,13 +40,71 @@ def run_experiment(
     return result_row(spark, out)
 
 
+def guarantee_sweep(a: DataFrame, b: DataFrame, ma: DataFrame, mb: DataFrame, ratios: Sequence[float]) -> DataFrame:
+    """What blocks of at most each share of Alice's records guarantee, and what they reach.
+
+    MAX_RATIO, RG_MAX, RG_AVG, RG_MIN, RR, PC, QG_MAX, QG_AVG.
+    """
+    n, rows = a.count(), []
+    for x in ratios:
+        ka, kb = (frequency_filter(m, 0, int(x * n)) for m in (ma, mb))
+        row = metrics.side_by_side(metrics.guarantees(ka, n), metrics.assess(a, b, candidate_pairs(ka, kb)).select("rr", "pc"))
+        rows.append(row.select(F.lit(float(x)).alias("MAX_RATIO"), *[F.col(c).alias(c.upper()) for c in ("rg_max", "rg_avg", "rg_min", "rr", "pc", "qg_max", "qg_avg")]))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def subset_sweep(a: DataFrame, b: DataFrame, specs: Sequence[str], most: int, low: int, high: int) -> DataFrame:
+    """A row for each choice of one to ``most`` signatures: signatures, rr, pc, pq, blocks per record and block
+    sizes of both parties (21 columns).
+
+    All choices go through one plan: a signature's memberships are repeated for each choice that has it.
+    """
+    choices = [c for n in range(1, most + 1) for c in combinations(range(len(specs)), n)]
+    spark = a.sparkSession
+    chosen = spark.createDataFrame([("|".join(specs[k] for k in c), k) for c in choices for k in c], "signatures string, sig int")
+
+    def members(party: DataFrame) -> DataFrame:
+        each = [psig.signatures(party, [spec]).select(F.lit(k).alias("sig"), "block", "rec_id") for k, spec in enumerate(specs)]
+        # the choices are a list in the code, hence the broadcast
+        every = reduce(DataFrame.unionByName, each).join(F.broadcast(chosen), "sig").drop("sig")
+        key = ["signatures", "block"]
+        sizes = every.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > low) & (F.col("n") <= high))
+        return materialise(every.join(sizes.select(*key), key, "left_semi"), "members")
+
+    ma, mb = members(a), members(b)
+    names = a.select(F.col("rec_id").alias("a"), F.col("ent_id").alias("ea")), b.select(F.col("rec_id").alias("b"), F.col("ent_id").alias("eb"))
+    met = ma.withColumnRenamed("rec_id", "a").distinct().join(mb.withColumnRenamed("rec_id", "b").distinct(), ["signatures", "block"]).select("signatures", "a", "b").distinct()
+    met = met.join(names[0], "a").join(names[1], "b").groupBy("signatures").agg(F.count(F.lit(1)).alias("cand"), F.count_if(F.col("ea") == F.col("eb")).alias("hit"))
+    out = spark.createDataFrame([("|".join(specs[k] for k in c),) for c in choices], "signatures string").join(met, "signatures", "left").na.fill(0, ["cand", "hit"])
+    kinds = {"size": (metrics.block_stats, {"min_blk": "min", "med_blk": "med", "max_blk": "max", "avg_blk": "avg", "std_dev": "std"}), "bpr": (metrics.blocks_per_record, {"min_bpr": "min", "max_bpr": "max", "avg_bpr": "avg"})}
+    for side, m in (("a", ma), ("b", mb)):
+        for kind, (measure, columns) in kinds.items():
+            cell = lambda c, n: (F.round(c, 6) if n in ("avg", "std") else F.col(c)).alias(f"{n}_{side}_{kind}")  # noqa: B023, E731
+            out = out.join(measure(m, "signatures").select("signatures", *[cell(c, n) for c, n in columns.items()]), "signatures", "left")
+    na, nb, true = a.count(), b.count(), metrics.true_matches(a, b).first()["true_total"]
+    rr = F.lit(1.0) - F.col("cand") / F.lit(float(na * nb)) if na * nb else F.lit(-1.0)
+    pc = F.col("hit") / F.lit(float(true)) if true else F.lit(-1.0)
+    pq = F.when(F.col("cand") > 0, F.col("hit") / F.col("cand")).otherwise(F.lit(-1.0))
+    measured = [f"{n}_{side}_{kind}" for kind in ("bpr", "size") for side in "ab" for n in kinds[kind][1].values()]
+    return out.select("signatures", rr.alias("rr"), pc.alias("pc"), pq.alias("pq"), *measured)
+
+
 def from_config(config: Mapping[str, object]):
-    """A blocking method out of a configuration ``{type, config}``: p-sig or lambda-fold."""
+    """A blocking method out of a configuration ``{type, config}``: p-sig or lambda-fold.
+
+    Of lambda-fold, what the configuration leaves out has the class's default; features are names or
+    positions from 1; with ``input-clks`` the parties bring their set bits in a column ``clk``.
+    """
     kind, c = config["type"], config["config"]
     if kind == "p-sig":
         return psig.ConfiguredSignature(c)
     if kind == "lambda-fold":
-        return hlsh.LambdaFoldLsh(tuple(c["blocking-features"]), c["Lambda"], c["K"], c["bf-len"], c["num-hash-funcs"], c["random_state"])
+        features, made = c.get("blocking-features", ()), hlsh.LambdaFoldLsh(())
+        made.attributes = tuple(f if isinstance(f, str) else ATTRIBUTES[f - 1] for f in features)
+        for name, key in (("folds", "Lambda"), ("bits", "K"), ("length", "bf-len"), ("hashes", "num-hash-funcs"), ("seed", "random_state")):
+            setattr(made, name, c.get(key, getattr(made, name)))
+        made.clks = "clk" if c.get("input-clks") else None
+        return made
     raise ValueError(f"unknown blocking type {kind}")
 
 

@@ -27,7 +27,17 @@ people AS (
 )"""
 
 
-def refs(n: int, name: str = "refs", table: str = "worded", salt: str = "") -> str:
+def share_of(share: float) -> str:
+    """A share of Alice's records, cut to a whole number."""
+    return f"(SELECT floor({share}::DOUBLE * count(*)) FROM alice)"
+
+
+def n_refs(k: int) -> str:
+    """Reference values: one for ``k`` records of the larger party."""
+    return f"(SELECT ceil(greatest((SELECT count(*) FROM alice), (SELECT count(*) FROM bob)) / {k}.0)::BIGINT)"
+
+
+def refs(n: str, name: str = "refs", table: str = "worded", salt: str = "") -> str:
     return f"""{name} AS (
     SELECT row_number() OVER (ORDER BY md5('{salt}' || key), key) - 1 AS pos, key AS ref FROM (
         SELECT DISTINCT a1 || a2 AS key FROM {table}) ORDER BY md5('{salt}' || key), key LIMIT {n}
@@ -50,19 +60,20 @@ def edit(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END)"
 
 
-def modulo(digest: str, digits: int, length: int) -> str:
+def modulo(digest: str, digits: int, length: int | str) -> str:
     out = "0::BIGINT"
+    rest = f"(4294967296 % {length})" if isinstance(length, str) else 4294967296 % length
     for i in range(digits // 8):
-        out = f"(({out} * {4294967296 % length} + ('0x' || substr({digest}, {8 * i + 1}, 8))::BIGINT) % {length})"
+        out = f"(({out} * {rest} + ('0x' || substr({digest}, {8 * i + 1}, 8))::BIGINT) % {length})"
     return out
 
 
-def bits(gram: str, hashes: int, length: int) -> str:
+def bits(gram: str, hashes: int, length: int | str) -> str:
     """Bits of one gram, repeats kept."""
     return f"list_transform(range(0, {hashes}), lambda i: ({modulo(f'sha1({gram})', 40, length)} + i * {modulo(f'md5({gram})', 32, length)}) % {length})"
 
 
-def filter_bits(s: str, hashes: int, length: int) -> str:
+def filter_bits(s: str, hashes: int, length: int | str) -> str:
     """Set bits of a string, ascending."""
     return f"list_sort(list_distinct(flatten(list_transform(list_distinct({grams(s)}), lambda g: {bits('g', hashes, length)}))))"
 
@@ -83,7 +94,7 @@ def signature(spec: str) -> str:
     return " || ".join(f"a{int(a) + 1}" if w == "*" else _CHAR.format(int(a) + 1, w) for a, w in parts)
 
 
-def signed(specs: Sequence[str], low: int, high: int) -> str:
+def signed(specs: Sequence[str], low: int, high: int | str) -> str:
     """sa, sb (all signatures) and ka, kb (those of allowed frequency)."""
     rows = lambda t: " UNION ALL ".join(f"SELECT {signature(s)} AS block, rec_id FROM {t}" for s in specs)
     kept = lambda t: f"SELECT * FROM {t} WHERE block IN (SELECT block FROM {t} GROUP BY block HAVING count(*) > {low} AND count(*) <= {high})"

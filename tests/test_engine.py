@@ -15,6 +15,7 @@ from tessera.operators import clustering, metrics, multiparty, psig
 from tessera.operators import sorted_neighbourhood as sn
 from tessera.operators.blocks import candidate_pairs, ratio_filter
 from tessera.operators.components import connected_components
+from tessera.operators.ranking import ranked
 from tessera.plans import experiments, reports
 from tessera.sources import parties, sinks
 from tessera.streaming.keys import stream_signatures
@@ -111,6 +112,108 @@ def test_fold_by_size(sizes, k):
     assert sn.fold_by_size(sizes, k) == merge_by_size(sizes, k)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=40), st.integers(1, 8))
+def test_fold_in_stretches_equals_the_whole(sizes, k):
+    assert list(sn.fold_in_stretches(iter(sizes), k)) == (sn.fold_by_size(sizes, k) if sizes else [])
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_places_and_running_sums(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(rng.randrange(20), k, rng.randrange(5)) for k in range(100)]
+    df = spark.createDataFrame(rows, "x int, y int, n int")
+    got = sorted((r["at"], r["x"], r["y"], r["s"]) for r in ranked(df, ["x", "y"], "at", {"s": "n"}, partitions).collect())
+    so_far, expected = 0, []
+    for k, (x, y, n) in enumerate(sorted(rows)):
+        so_far += n
+        expected.append((k + 1, x, y, so_far))
+    assert got == expected and ranked(df.limit(0), ["x"], "at").count() == 0
+
+
+def some_names(n, seed, letters="abcd"):
+    rng = random.Random(seed)
+    return list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n)))
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.8])
+def test_nearest_neighbour_clusters_in_spark(spark, threshold):
+    """Ties included, which go to the oldest cluster."""
+    values = some_names(90, int(threshold * 100), "ab" if threshold < 0.5 else "abc")
+    found = clustering.nearest_neighbour_frame(spark.createDataFrame(list(enumerate(values)), "pos int, ref string"), threshold)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["cluster"], set()).add(r["ref"])
+    expected = clustering.nearest_neighbour_clusters(values, threshold)
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in expected} and 1 < len(expected) < len(values)
+    assert all(values[c] in members for c, members in got.items())
+
+
+def literal_linkage(values, clusters, sim):
+    live = {i: [v] for i, v in enumerate(values)}
+    while len(live) > clusters:
+        ids = list(live)
+        pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+        mean = {(a, b): round(sum(sim(x, y) for x in live[a] for y in live[b]) / (len(live[a]) * len(live[b])), 9) for a, b in pairs}
+        best = max(pairs, key=mean.get)
+        live[max(len(values), max(ids) + 1)] = live.pop(best[0]) + live.pop(best[1])
+    return live
+
+
+def test_average_linkage_read_literally():
+    for seed in range(5):
+        values = some_names(30, seed)
+        for clusters in (1, 4, 15):
+            assert clustering.average_linkage(values, clusters) == literal_linkage(values, clusters, clustering.dice_python)
+    assert clustering.average_linkage(["a", "b"], 5) == {0: ["a"], 1: ["b"]} and clustering.average_linkage([], 3) == {}
+    with pytest.raises(ValueError, match="at most"):
+        clustering.average_linkage(["a", "b", "c"], 1, most=2)
+
+
+def test_medoids_without_pairs(spark):
+    values = some_names(40, 3) + ["aaaa", "aaaaa"]
+    df = spark.createDataFrame([(k, k % 3, v) for k, v in enumerate(values)], "pos int, cluster int, ref string")
+    expected = {}
+    for c in range(3):
+        own = [v for k, v in enumerate(values) if k % 3 == c]
+        expected[c] = max((round(sum(clustering.dice_python(x, y) for y in own) - 1, 9), x) for x in own)[1]
+    assert {r["cluster"]: r["ref"] for r in clustering.medoids(df).collect()} == expected
+
+
+def test_samples_by_frequency(spark):
+    keys = spark.range(2000).select(F.when(F.col("id") < 1500, F.lit("often")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    drawn = [parties.sample_values(keys, 5, seed) for seed in range(12)]
+    assert all(len(set(x)) == 5 for x in drawn) and drawn[0] == parties.sample_values(keys, 5, 0) and sum("often" in x for x in drawn) >= 10
+    with pytest.raises(ValueError, match="wanted"):
+        parties.sample_values(keys, 52)
+
+
+def test_repeated_ids_and_many_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.csv").write_text("ENTID,name\n" + "".join(f"{i},N{i}{k}\n" for i in range(4)))
+    both = parties.load_parties(spark, [str(tmp_path / f"p{k}.csv") for k in range(3)], ["entid", "a1"], "entid")
+    assert sorted((r["party"], r["rec_id"], r["a1"]) for r in both.collect()) == [(k, str(i), f"n{i}{k}") for k in range(3) for i in range(4)]
+    (tmp_path / "bad.csv").write_text("id,name\n1,a\n1,b\n")
+    with pytest.raises(ValueError, match="more than once"):
+        parties.load_party(spark, str(tmp_path / "bad.csv"), ["id", "a1"], "id")
+
+
+def test_configured_methods(spark):
+    a = spark.createDataFrame([("1", "anna", "li"), ("2", "bob", "ng"), ("3", "anne", "li")], "rec_id string, a1 string, a2 string")
+    b = spark.createDataFrame([("7", "anna", "li"), ("8", "zoe", "xu")], "rec_id string, a1 string, a2 string")
+    config = {"signatureSpecs": [[{"type": "characters-at", "config": {"pos": ["0:2"]}, "feature": "a1"}]], "blocking-filter": {"type": "bloom filter", "number-hash-functions": 4, "bf-len": 2048}}
+    ma, mb = psig.ConfiguredSignature(config).index_both(a, b)
+    assert sorted(r["rec_id"] for r in ma.collect()) == ["1", "3"] and [r["rec_id"] for r in mb.collect()] == ["7"]
+    del config["blocking-filter"]
+    assert psig.ConfiguredSignature(config).index_both(a, b)[0].count() == 3
+    fold = experiments.from_config({"type": "lambda-fold", "config": {"blocking-features": [1, 2], "Lambda": 2, "K": 3, "bf-len": 50}})
+    assert (fold.attributes, fold.folds, fold.bits, fold.length, fold.hashes, fold.seed) == (("a1", "a2"), 2, 3, 50, 30, 0) and fold.index(a).count() == 6
+    clks = experiments.from_config({"type": "lambda-fold", "config": {"Lambda": 2, "K": 3, "bf-len": 50, "input-clks": True}})
+    rows = spark.createDataFrame([("1", [0, 7, 49]), ("2", [])], "rec_id string, clk array<int>")
+    expected = {(f"{k}_" + "".join("1" if p in bits else "0" for p in sample), rec) for rec, bits in (("1", {0, 7, 49}), ("2", set())) for k, sample in enumerate(clks.samples())}
+    assert {(r["block"], r["rec_id"]) for r in clks.index(rows).collect()} == expected
+
+
 def literal_windows(a, b, w):
     values = sorted(set(a) | set(b))
     out = set()
