@@ -122,14 +122,27 @@ def reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people(spark, sf_dir).select(key_of(["a1", "a2"]).alias("key"))
 
 
-def dataset_catalogue(mode: str, sizes: Sequence[int] = (4611, 46116, 461167), overlaps: Sequence[int] = (25, 50, 75)) -> list[tuple[str, str]]:
-    """File pairs of an experiment mode: ex, no, mod, lno, lmod, nc, syn, syn_mod, nc_syn, nc_syn_mod."""
-    kinds = {"ex": ("no_mod", sizes[:1], (25,)), "no": ("no_mod", sizes, overlaps), "mod": ("with_mod", sizes, overlaps), "lno": ("no_mod", sizes[-1:], overlaps), "lmod": ("with_mod", sizes[-1:], overlaps)}
-    kinds |= {"syn": ("no_mod", sizes, (50,)), "syn_mod": ("with_mod", sizes, (50,)), "nc_syn": ("no_mod", sizes, (50,)), "nc_syn_mod": ("with_mod", sizes, (50,))}
+#: Of each experiment mode the records a party, the overlap in per cent, the modifications of
+#: Bob's records (0: none), the ending and the folder of its files.
+MODES = {
+    "ex": ((10,), (25,), (0,), ".csv", "datasets/example"),
+    "no": ((46116, 4611676), (50,), (0,), ".csv", "datasets"),
+    "mod": ((1730,), (50,), (1,), ".csv.gz", "datasets"),
+    "lno": ((1729379,), (50,), (0,), ".csv.gz", "datasets"),
+    "lmod": ((1729379,), (50,), (1,), ".csv.gz", "datasets"),
+    "syn": ((4611, 46116, 461167), (50,), (0,), ".csv", "datasets"),
+    "syn_mod": ((4611, 46116, 461167), (50,), (1, 2, 4), ".csv", "datasets"),
+    "nc_syn": ((5488, 54886, 548860), (50,), (0,), ".csv", "datasets"),
+    "nc_syn_mod": ((5488, 54886, 548860), (50,), (1, 2, 4), ".csv", "datasets"),
+}
+
+
+def dataset_catalogue(mode: str, sizes: Sequence[int] | None = None, overlaps: Sequence[int] | None = None) -> list[tuple[str, str]]:
+    """File pairs (Alice's, Bob's) of an experiment mode, ``nc`` or one of ``MODES``; other sizes and overlaps may be named."""
     if mode == "nc":
-        return [("ncvoter-temporal-1.csv", "ncvoter-temporal-2.csv")]
-    if mode not in kinds:
+        return [("datasets/ncvoter-temporal-1.csv", "datasets/ncvoter-temporal-2.csv")]
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    kind, ns, os_ = kinds[mode]
-    prefix = "ncvr_" if mode.startswith("nc") else ""
-    return [(f"{prefix}{n}_{o}_overlap_{kind}_alice.csv", f"{prefix}{n}_{o}_overlap_{kind}_bob.csv") for n in ns for o in os_]
+    known, shared, mods, ending, folder = MODES[mode]
+    name = lambda n, o, kind: f"{folder}/{n}_{o}_overlap_{kind}{ending}"
+    return [(name(n, o, "no_mod_alice"), name(n, o, f"with_mod_bob_{m}" if m else "no_mod_bob")) for n in sizes or known for o in overlaps or shared for m in mods]

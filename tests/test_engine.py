@@ -285,7 +285,9 @@ def test_csv_parties(spark, tmp_path):
         assert parties.repeated_ids(got).count() == 0 and parties.repeated_ids(got.union(got)).count() == 3
     numbered = parties.load_party(spark, str(tmp_path / "p.csv"), ["id", "name", "city"])
     assert {r["rec_id"]: r["id"] for r in numbered.collect()} == {"0": "7", "1": "8", "2": "9"}
-    assert parties.dataset_catalogue("nc")[0][0].startswith("ncvoter") and len(parties.dataset_catalogue("mod")) == 9
+    assert parties.dataset_catalogue("nc")[0][0] == "datasets/ncvoter-temporal-1.csv" and len(parties.dataset_catalogue("mod", (4611, 46116, 461167), (25, 50, 75))) == 9
+    assert parties.dataset_catalogue("mod") == [("datasets/1730_50_overlap_no_mod_alice.csv.gz", "datasets/1730_50_overlap_with_mod_bob_1.csv.gz")]
+    assert parties.dataset_catalogue("nc_syn_mod")[4] == ("datasets/54886_50_overlap_no_mod_alice.csv", "datasets/54886_50_overlap_with_mod_bob_2.csv") and len(parties.dataset_catalogue("syn_mod")) == 9
     keys = spark.createDataFrame([(k,) for k in "aaabbc"], "key string")
     assert sorted(parties.sample_values(keys, 3)) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="distinct"):
