@@ -68,11 +68,12 @@ class Model:
 
     def back_off(self, word: str) -> tuple[int, ...]:
         """Rows of the longest known n-grams of an unknown word."""
-        get = self.grams.get
+        get, padded = self.grams.get, f"_{word}_"
         for n in range(LONGEST, 0, -1):
-            found = tuple(i for g in grams_of(word, n) if (i := get(g)) is not None)
+            text = padded if n > 1 else word
+            found = [i for k in range(len(text) - n + 1) if (i := get(text[k : k + n])) is not None]
             if found:
-                return found
+                return tuple(found)
         return ()
 
 
