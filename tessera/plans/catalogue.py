@@ -53,13 +53,14 @@ def _keys(party: DataFrame) -> DataFrame:
     return party.select("rec_id", parties.key_of(["a1", "a2"]).alias("key"))
 
 
-def _n_refs(spark: SparkSession, sf_dir: str) -> int:
-    return -(-max(p.count() for p in parties.two_parties(spark, sf_dir)) // K)
+def _n_refs(*both: DataFrame) -> int:
+    return -(-max(p.count() for p in both) // K)
 
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, ref), written: it is read for indexes, clusters and assignments."""
-    return materialise(parties.hashed_values(parties.reference_keys(spark, sf_dir), _n_refs(spark, sf_dir)), "references")
+    rows = parties.people(spark, sf_dir)
+    return materialise(parties.hashed_values(parties.reference_keys(rows), _n_refs(*parties.parties_of(rows))), "references")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -409,7 +410,7 @@ ends AS (SELECT start, min(e.rn) AS stop FROM starts s, ranked e WHERE e.rn >= s
 
 def _two_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     a, b = parties.two_parties(spark, sf_dir)
-    n = _n_refs(spark, sf_dir)
+    n = _n_refs(a, b)
     ra = materialise(parties.hashed_values(_keys(a), n, "a"), "references")
     rb = materialise(parties.hashed_values(_keys(b), n, "b"), "references")
     return a, b, ra, rb

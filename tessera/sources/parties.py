@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.strings import clean_cell
 from tessera.operators.ranking import ranked
+from tessera.session import materialise
 
 ATTRIBUTES = ("a1", "a2", "a3", "a4")
 
@@ -89,12 +90,15 @@ def hashed_values(keys: DataFrame, n: int, salt: str = "") -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Person-like rows out of ``documents``: two words, a place and a code."""
+    """Person-like rows out of ``documents``: two words, a place and a code.
+
+    Written, since most plans read the parties many times: the texts are read once.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # the first two runs of letters; no text is searched further
     word = lambda p: F.lower(F.coalesce(F.regexp_extract("text", p, 1), F.lit("")))
     first, second = r"^[^A-Za-z]*+([A-Za-z]++)", r"^[^A-Za-z]*+[A-Za-z]++[^A-Za-z]++([A-Za-z]++)"
-    return docs.select("doc_id", word(first).alias("a1"), word(second).alias("a2"), F.coalesce("lang", F.lit("")).alias("a3"), F.coalesce("source", F.lit("")).alias("a4"))
+    return materialise(docs.select("doc_id", word(first).alias("a1"), word(second).alias("a2"), F.coalesce("lang", F.lit("")).alias("a3"), F.coalesce("source", F.lit("")).alias("a4")), "people")
 
 
 def _party(rows: DataFrame) -> DataFrame:
@@ -103,8 +107,11 @@ def _party(rows: DataFrame) -> DataFrame:
 
 
 def two_parties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return parties_of(people(spark, sf_dir))
+
+
+def parties_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alice and Bob share a third of the people; Bob has lost a letter in some first words."""
-    rows = people(spark, sf_dir)
     short = F.concat(F.substring("a1", 1, 1), F.substr(F.col("a1"), F.lit(3)))
     worn = F.when((F.col("doc_id") % 5 == 0) & (F.length("a1") > 2), short).otherwise(F.col("a1"))
     return _party(rows.filter("doc_id % 3 in (0, 1)")), _party(rows.filter("doc_id % 3 in (1, 2)").withColumn("a1", worn))
@@ -117,9 +124,9 @@ def many_parties(spark: SparkSession, sf_dir: str, parties: int = 5) -> DataFram
     return rows.select("party", F.col("doc_id").cast("string").alias("rec_id"), *ATTRIBUTES)
 
 
-def reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reference_keys(rows: DataFrame) -> DataFrame:
     """Keys of all people, to draw reference values from."""
-    return people(spark, sf_dir).select(key_of(["a1", "a2"]).alias("key"))
+    return rows.select(key_of(["a1", "a2"]).alias("key"))
 
 
 #: Of each experiment mode the records a party, the overlap in per cent, the modifications of

@@ -341,7 +341,7 @@ def test_many_parties(spark):
     assert multiparty.true_sets(records, 5).count() == 0
 
 
-def test_configured_methods(spark):
+def test_configured_filters_and_sounds(spark):
     a = spark.createDataFrame([("1", "smith", "li"), ("2", "smyth", "li")], "rec_id string, a1 string, a2 string")
     part = lambda kind, f, **c: {"type": kind, "feature": f} | c
     config = {"signatureSpecs": [[part("metaphone", "a1")], [part("characters-at", "a1", config={"pos": [0, "1:2"]})]], "filter": {"type": "ratio", "min": 0.4, "max": 1.0}}
