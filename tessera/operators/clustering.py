@@ -1,8 +1,7 @@
 """Blocking by clusters of reference values: nearest-neighbour and average-linkage clustering.
 
-Nearest-neighbour clusters are formed in Spark; average linkage, which compares all with all, on the
-driver, for a checked number of reference values. Records are assigned through shared q-grams, so a
-record meets only the values that it could be similar to.
+Nearest-neighbour clusters are formed in Spark; average linkage on the driver, without a matrix.
+Records are assigned through shared q-grams, counted block by block.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +19,10 @@ from tessera.functions.strings import FIRST_PAD, LAST_PAD, dice_of, laplace_loca
 from tessera.operators.blocks import shared_blocks
 from tessera.session import materialise
 
-#: Most values for average linkage: a matrix of 288 MB.
+#: Most values for average linkage by a similarity of one's own: a matrix of 288 MB.
 MOST_VALUES = 6000
+#: So many values and keys meet in one task when keys are assigned.
+VALUES, KEYS = 8192, 20_000
 
 
 def dice_python(a: str, b: str) -> float:
@@ -51,72 +53,104 @@ def nearest_neighbour_clusters(values: Sequence[str], threshold: float, sim: Cal
     return clusters
 
 
-def _dice_matrix(values: Sequence[str]) -> np.ndarray:
-    """Dice of all pairs, from lists of the values that hold each gram."""
-    grams = [[p[i : i + 2] for i in range(len(p) - 1)] for p in (FIRST_PAD + v + LAST_PAD for v in values)]
-    holders: dict[str, list[int]] = {}
-    for i, g in enumerate(grams):
-        for x in set(g):
-            holders.setdefault(x, []).append(i)
-    both = np.zeros((len(values), len(values)))
-    for at in holders.values():
-        both[np.ix_(at, at)] += 1
-    size = np.array([len(g) for g in grams], dtype=float)
-    sim = 2.0 * both / (size[:, None] + size[None, :])
-    code = np.unique(np.array(values, dtype=str), return_inverse=True)[1]
-    sim[code[:, None] == code[None, :]] = 1.0
-    return sim
-
-
-def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, str], float] | None = None, most: int = MOST_VALUES) -> dict[int, list[str]]:
+class GramIndex:
+    """Lists of the values that hold each bigram: Dice of one value to all others, without a matrix."""
+
+    def __init__(self, values: Sequence[str]) -> None:
+        holders: dict[str, list[int]] = {}
+        same: dict[str, list[int]] = {}
+        for i, v in enumerate(values):
+            same.setdefault(v, []).append(i)
+            for g in self._grams(v):
+                holders.setdefault(g, []).append(i)
+        self.values, self.same = values, same
+        self.holders = {g: np.array(at, np.intp) for g, at in holders.items()}
+        self.size = np.array([len(v) + 1 for v in values], dtype=float)
+
+    @staticmethod
+    def _grams(value: str) -> set[str]:
+        padded = FIRST_PAD + value + LAST_PAD
+        return {padded[i : i + 2] for i in range(len(padded) - 1)}
+
+    def similar(self, value: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending places of the values that share a gram with ``value``, and their similarities."""
+        found = [self.holders[g] for g in self._grams(value) if g in self.holders]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        both = np.bincount(np.concatenate(found))
+        at = np.flatnonzero(both)
+        sim = 2.0 * both[at] / (self.size[at] + (len(value) + 1))
+        if value in self.same:
+            sim[np.searchsorted(at, self.same[value])] = 1.0
+        return at, sim
+
+
+def average_linkage(values: Sequence[str], clusters: int, sim: Callable[[str, str], float] | None = None, most: int | None = None) -> dict[int, list[str]]:
     """Merges the two clusters of highest mean similarity (by default Dice, to nine places) until ``clusters`` are left.
 
     Ties go to the first pair; if nothing is similar the first two live clusters merge. A merged
     cluster gets a new, higher number. Each cluster remembers its best partner among the later ones,
-    so a merge costs one row. A matrix of the values is held here: more than ``most`` are refused.
+    so a merge costs a few rows of similarities. By Dice a row is made when it is looked at, and what
+    is held follows the number of values; of another similarity a matrix is held, and more than
+    ``MOST_VALUES`` are refused, as are more than ``most`` of either.
     """
     n = len(values)
-    if n > most:
-        raise ValueError(f"{n} values; at most {most} are clustered in one place")
-    total = _dice_matrix(values) if sim is None else np.array([[sim(x, y) for y in values] for x in values], dtype=float).reshape(n, n)
-    members = {i: [v] for i, v in enumerate(values)}
-    ids, size, live = np.arange(n), np.ones(n), np.ones(n, bool)
-    best, partner = np.full(n, -1.0), np.full(n, -1)
+    if n > (most if most is not None else n if sim is None else MOST_VALUES):
+        raise ValueError(f"{n} values; at most {most or MOST_VALUES} are clustered in one place")
+    if sim is None:
+        index = GramIndex(values)
+        row_of = lambda v: index.similar(values[v])
+    else:
+        matrix = np.array([[sim(x, y) for y in values] for x in values], dtype=float).reshape(n, n)
+        row_of = lambda v: (at := np.flatnonzero(matrix[v]), matrix[v, at])
+    held = [[i] for i in range(n)]
+    ids, size, live, slot = np.arange(n), np.ones(n), np.ones(n, bool), np.arange(n)
+    best, partner = np.zeros(n), np.full(n, -1)
+
+    def means(s: int) -> tuple[np.ndarray, np.ndarray]:
+        """The clusters that are somewhat like the one at ``s``, and how much, not yet rounded."""
+        rows = [row_of(v) for v in held[s]]
+        total = np.bincount(slot[np.concatenate([at for at, _ in rows])], np.concatenate([x for _, x in rows]))
+        at = np.flatnonzero(total)
+        return at, total[at] / (size[s] * size[at])
 
     def look(s: int) -> None:
-        later = np.flatnonzero(live & (ids > ids[s]))
-        best[s], partner[s] = -1.0, -1
-        if len(later):
-            mean = np.round(total[s, later] / (size[s] * size[later]), 9)
-            top = later[mean == mean.max()]
+        at, mean = means(s)
+        later = ids[at] > ids[s]
+        at, mean = at[later], mean[later]
+        best[s], partner[s] = 0.0, -1
+        if len(at):
+            # rounding is slow, so only what can be the most is rounded
+            near = mean > mean.max() - 2e-9
+            at, mean = at[near], np.round(mean[near], 9)
+            top = at[mean == mean.max()]
             best[s], partner[s] = mean.max(), top[ids[top].argmin()]
 
     for s in range(n):
         look(s)
-    new = n
-    while live.sum() > max(1, clusters):
+    for new in range(n, n + n - max(1, clusters)):
         slots = np.flatnonzero(live)
         top = slots[best[slots] == best[slots].max()]
-        a = top[ids[top].argmin()]
-        b = partner[a]
+        a = int(top[ids[top].argmin()])
+        b = int(partner[a])
         if best[a] <= 0:
-            a, b = slots[ids[slots].argsort()[:2]]
-        members[new] = members.pop(int(ids[a])) + members.pop(int(ids[b]))
-        total[a, :] += total[b, :]
-        total[:, a] = total[a, :]
+            first = slots[np.argpartition(ids[slots], 1)[:2]]
+            a, b = (int(x) for x in first[ids[first].argsort()])
+        held[a], held[b] = held[a] + held[b], []
+        slot[held[a]] = a
         size[a] += size[b]
         live[b] = False
         ids[a] = new
-        new += 1
-        others = np.flatnonzero(live & (np.arange(n) != a))
-        lost = np.isin(partner[others], (a, b))
-        look(int(a))
-        for s in others[lost]:
+        # nothing is later than the new cluster
+        best[a], partner[a] = 0.0, -1
+        for s in np.flatnonzero(live & ((partner == a) | (partner == b))):
             look(int(s))
-        mean = np.round(total[others, a] / (size[others] * size[a]), 9)
-        better = ~lost & (mean > best[others])
-        best[others[better]], partner[others[better]] = mean[better], a
-    return {i: members[i] for i in sorted(members)}
+        at, mean = means(a)
+        near = (at != a) & (mean > best[at] - 2e-9)
+        at, mean = at[near], np.round(mean[near], 9)
+        better = mean > best[at]
+        best[at[better]], partner[at[better]] = mean[better], a
+    return {int(ids[s]): [values[v] for v in held[s]] for s in sorted(np.flatnonzero(live), key=lambda s: ids[s])}
 
 
 def clusters_frame(spark: SparkSession, clusters: dict[int, list[str]]) -> DataFrame:
@@ -186,20 +220,41 @@ def medoids(clusters: DataFrame, name: str = "dice") -> DataFrame:
     return sums.groupBy("cluster").agg(F.max(F.struct("s", "x")).alias("m"), F.min("pos").alias("pos")).select("pos", "cluster", F.col("m.x").alias("ref"))
 
 
+def _nearest(keys: pa.Table, refs: pa.Table) -> pa.Table:
+    """(key, cluster, pos, sim): for each key the first of the values here that are most similar to it."""
+    refs = refs.sort_by([("cluster", "ascending"), ("pos", "ascending")])
+    index, out = GramIndex(refs["ref"].to_pylist()), []
+    for key in keys["key"].to_pylist():
+        at, sim = index.similar(key)
+        if len(at):
+            k = np.round(sim, 12).argmax()
+            out.append((key, at[k], sim[k]))
+    at = pa.array([x[1] for x in out], pa.int64())
+    columns = [pa.array([x[0] for x in out], pa.string()), refs["cluster"].take(at).cast(pa.int64()), refs["pos"].take(at).cast(pa.int64()), pa.array([x[2] for x in out], pa.float64())]
+    return pa.table(columns, names=["key", "cluster", "pos", "sim"])
+
+
 def assign_nearest(keys: DataFrame, refs: DataFrame, nobody: int = -1) -> DataFrame:
     """(key, cluster, sim): for each distinct key the first of the most similar values, by Dice; the values
     stand in the order of their clusters, and in a cluster in that of their positions.
 
     Only values that share a q-gram have a similarity above 0; a key without any goes to ``nobody``.
+    Keys and values are dealt into blocks, and each block of keys meets each of values once: what a
+    key shares with a value is counted there, so that no row is made for a pair. Written.
     """
-    k = keys.select("key").distinct().withColumn("kg", qgrams(F.col("key")))
-    r = refs.select("pos", "cluster", "ref", qgrams(F.col("ref")).alias("rg"))
-    left = k.select("key", F.size("kg").alias("kn"), F.explode(F.array_distinct("kg")).alias("gram"))
-    right = r.select("pos", "cluster", "ref", F.size("rg").alias("rn"), F.explode(F.array_distinct("rg")).alias("gram"))
-    met = left.join(right, "gram").groupBy("key", "kn", "pos", "cluster", "ref", "rn").agg(F.count(F.lit(1)).alias("both"))
-    sim = F.when(F.col("key") == F.col("ref"), F.lit(1.0)).otherwise(F.lit(2.0) * F.col("both") / (F.col("kn") + F.col("rn")))
-    best = met.withColumn("sim", sim).groupBy("key").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.round("sim", 12), -F.col("cluster"), -F.col("pos"))).alias("m"))
-    return k.select("key").join(best, "key", "left").select("key", F.coalesce("m.cluster", F.lit(nobody)).alias("cluster"), F.coalesce("m.sim", F.lit(0.0)).alias("sim"))
+    keys = materialise(keys.select("key").distinct().filter("key is not null"), "keys")
+    refs = refs.select("pos", "cluster", "ref").filter("ref is not null")
+    rows, columns = (F.lit(max(1, -(-x.count() // most))) for x, most in ((keys, KEYS), (refs, VALUES)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))
+    left = keys.select("key", dealt("key", rows).alias("row"), every(columns).alias("column")).groupBy("row", "column")
+    right = refs.select("pos", "cluster", "ref", every(rows).alias("row"), dealt("ref", columns).alias("column")).groupBy("row", "column")
+    met = left.cogroup(right).applyInArrow(_nearest, "key string, cluster long, pos long, sim double")
+    best = met.groupBy("key").agg(F.max_by(F.struct("cluster", "sim"), F.struct(F.round("sim", 12), -F.col("cluster"), -F.col("pos"))).alias("m"))
+    # the cluster keeps the type it has among the values
+    kind = refs.schema["cluster"].dataType
+    out = keys.join(best, "key", "left").select("key", F.coalesce(F.col("m.cluster").cast(kind), F.lit(nobody)).alias("cluster"), F.coalesce("m.sim", F.lit(0.0)).alias("sim"))
+    return materialise(out, "nearest")
 
 
 @dataclass
