@@ -199,7 +199,7 @@ def psig_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SIGNED + ", " + _PAIRS + " " + S.assessment("pairs"))
 def psig_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, ma, mb = _members(spark, sf_dir)
-    return metrics.assess(a, b, candidate_pairs(ma, mb))
+    return metrics.assess_blocks(a, b, ma, mb)
 
 
 @query(_SIGNED + "SELECT min(n) AS min_bpr, max(n) AS max_bpr, avg(n) AS avg_bpr FROM (SELECT rec_id, count(*) AS n FROM ka GROUP BY rec_id)")
@@ -504,7 +504,10 @@ def hlsh_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hlsh_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = parties.two_parties(spark, sf_dir)
     method = _hlsh(a, b)
-    return metrics.assess(a, b, candidate_pairs(method.index(a), method.index(b)))
+    # a record's keys follow from its names: the first of each combination stands for all
+    first = lambda p: p.groupBy(*method.attributes).agg(F.min("rec_id").alias("rec_id"))
+    ma, mb = (materialise(method.index(first(p)), "members") for p in (a, b))
+    return metrics.assess_blocks(a, b, ma, mb, method.attributes)
 
 
 def _fold_rows(party: str, tag: str) -> str:
@@ -580,7 +583,7 @@ def knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = clustering.NearestNeighbour(_centers(spark, sf_dir), K)
     ma, mb = (materialise(method.index(_keys(p)), "members") for p in (a, b))
     kept = method.match(ma, mb).select("block")
-    return metrics.assess(a, b, candidate_pairs(ma.join(kept, "block", "left_semi"), mb.join(kept, "block", "left_semi")))
+    return metrics.assess_blocks(a, b, ma.join(kept, "block", "left_semi"), mb.join(kept, "block", "left_semi"))
 
 
 _KS = (3, 10, 20, 50, 100)
@@ -612,11 +615,11 @@ _HCLUST = _LINKING.rstrip() + ", " + _nearest("alice", "a", "clusters") + ", " +
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, cluster, ref); the values come to the driver, which refuses too many."""
-    rows = _refs(spark, sf_dir).orderBy("pos").limit(clustering.MOST_VALUES + 1).collect()
+    """(pos, cluster, ref), written; the values come to the driver."""
+    rows = _refs(spark, sf_dir).orderBy("pos").collect()
     found = clustering.average_linkage([r["ref"] for r in rows], len(rows) // 3)
     place = {r["ref"]: r["pos"] for r in rows}
-    return spark.createDataFrame([(place[v], c, v) for c, members in found.items() for v in members], "pos int, cluster int, ref string")
+    return materialise(spark.createDataFrame([(place[v], c, v) for c, members in found.items() for v in members], "pos int, cluster int, ref string"), "linked")
 
 
 @query(_LINKING + "SELECT pos, cluster, ref FROM clusters")
@@ -721,8 +724,9 @@ def _at_share(share: float) -> str:
 def _by_share(spark: SparkSession, sf_dir: str, shares: tuple[float, ...]) -> DataFrame:
     a, b = parties.two_parties(spark, sf_dir)
     sa, sb, n = psig.signatures(a, S.SIGNATURES), psig.signatures(b, S.SIGNATURES), a.count()
-    rows = [metrics.assess(a, b, candidate_pairs(*(frequency_filter(m, LOW, int(x * n)) for m in (sa, sb)))).select(F.lit(x).alias("drop_ratio"), "*") for x in shares]
-    return reduce(DataFrame.unionByName, rows)
+    found = metrics.assess_limits(a, b, sa, sb, LOW, [int(x * n) for x in shares])
+    # the shares are a list in the code, hence the broadcast
+    return found.join(F.broadcast(spark.createDataFrame(list(enumerate(shares)), "k int, drop_ratio double")), "k").drop("k").select("drop_ratio", *[c for c in found.columns if c != "k"])
 
 
 @query(_one_of(_at_share(SHARE), "drop_ratio", f"{SHARE}::DOUBLE"))
