@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.registry import similarity
-from tessera.functions.strings import FIRST_PAD, LAST_PAD, dice_of, laplace_location, qgrams
+from tessera.functions.strings import FIRST_PAD, LAST_PAD, laplace_location, qgrams
 from tessera.operators.blocks import shared_blocks
 from tessera.session import materialise
 
@@ -162,19 +162,26 @@ def clusters_frame(spark: SparkSession, clusters: dict[int, list[str]]) -> DataF
 def similar_predecessors(refs: DataFrame, threshold: float) -> DataFrame:
     """(pos, to): the values before each that are most similar to it by Dice, if that is ``threshold`` or more.
 
-    Two values that similar share one of the rarest grams of each: only those are joined on.
+    Values are dealt into blocks and each two blocks meet once; of a block only the most similar are handed on.
     """
-    grams = refs.select("pos", "ref", qgrams(F.col("ref")).alias("g")).withColumn("size", F.size("g"))
-    each = grams.select("pos", "size", F.explode(F.array_distinct("g")).alias("gram"))
-    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    order = each.join(often, "gram").groupBy("pos", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("order"))
-    # of so many distinct grams all but ``need - 1`` may be missing in the other
-    need = F.ceil(F.lit(threshold) * F.col("size") / (2.0 - threshold) - 1e-9)
-    rare = order.select("pos", F.explode(F.slice("order", F.lit(1), F.greatest(F.size("order") - need + 1, F.lit(0)).cast("int"))).alias("x")).select("pos", "x.gram")
-    pairs = rare.join(rare.select(F.col("pos").alias("to"), "gram"), "gram").filter("to < pos").select("pos", "to").distinct()
-    right = grams.select(F.col("pos").alias("to"), F.col("ref").alias("other"), F.col("g").alias("og"))
-    sim = F.when(F.col("ref") == F.col("other"), F.lit(1.0)).otherwise(dice_of(F.col("g"), F.col("og")))
-    met = pairs.join(grams, "pos").join(right, "to").select("pos", "to", sim.alias("sim")).filter(F.col("sim") >= threshold)
+
+    def best(values: pa.Table, before: pa.Table) -> pa.Table:
+        index, places, out = GramIndex(before["ref"].to_pylist()), before["pos"].to_numpy(), []
+        for pos, ref in zip(values["pos"].to_pylist(), values["ref"].to_pylist(), strict=True):
+            at, sim = index.similar(ref)
+            near = (sim >= threshold) & (places[at] < pos)
+            at, sim = places[at[near]], sim[near]
+            if len(at):
+                out += [(pos, to, sim.max()) for to in at[sim == sim.max()].tolist()]
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["pos", "to", "sim"])
+
+    refs = refs.select(F.col("pos").cast("int").alias("pos"), "ref").filter("ref is not null")
+    blocks = F.lit(max(1, -(-refs.count() // VALUES)))
+    own, every = F.pmod(F.xxhash64("ref"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))
+    left = refs.select("pos", "ref", own.alias("row"), every.alias("column")).groupBy("row", "column")
+    right = refs.select("pos", "ref", every.alias("row"), own.alias("column")).groupBy("row", "column")
+    met = materialise(left.cogroup(right).applyInArrow(best, "pos int, to int, sim double"), "predecessors")
     most = met.groupBy("pos").agg(F.max("sim").alias("sim"))
     return met.join(most, ["pos", "sim"]).select("pos", "to")
 

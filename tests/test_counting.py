@@ -61,6 +61,18 @@ def test_nearest_values_by_blocks(spark, monkeypatch):
     assert len(got) == len(keys)
 
 
+def test_predecessors_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "VALUES", 6)
+    rng = random.Random(4)
+    values = list(dict.fromkeys("".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(40)))
+    expected = set()
+    for k, v in enumerate(values):
+        sims = [clustering.dice_python(v, x) for x in values[:k]]
+        expected |= {(k, to) for to, x in enumerate(sims) if x >= 0.5 and x == max(sims)}
+    found = clustering.similar_predecessors(spark.createDataFrame(list(enumerate(values)), "pos int, ref string"), 0.5)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_average_linkage_of_many_values():
     rng = random.Random(1)
     values = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6100)))
