@@ -273,8 +273,12 @@ def _cut(rows: DataFrame, with_text: bool) -> DataFrame:
 
 
 def _salted_semi(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key is among ``keys``; the rows of one key are dealt to ``SALTS`` tasks."""
-    spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    """``rows`` whose key is among ``keys``; the rows of one key are dealt to ``SALTS`` tasks.
+
+    Spark takes the salted keys for as small as the file of the keys and would broadcast many times
+    its threshold through the driver; hence the hint.
+    """
+    spread = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
     return rows.withColumn("salt", F.pmod(F.hash("doc_id", "start"), F.lit(SALTS))).join(spread, [key, "salt"], "left_semi").drop("salt")
 
 

@@ -63,6 +63,17 @@ def test_substrings_match_brute_force(spark):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_salted_keys_are_not_broadcast(spark, tmp_path):
+    """A small file of keys is many rows once they are salted: too many for the driver."""
+    keys, rows = spark.range(1000).selectExpr("xxhash64(id) core"), spark.range(3000).selectExpr("id doc_id", "0 start", "xxhash64(id % 2000) core")
+    for df, name in ((keys, "keys"), (rows, "rows")):
+        df.write.parquet(f"file://{tmp_path}/{name}")
+    keys, rows = (spark.read.parquet(f"file://{tmp_path}/{name}") for name in ("keys", "rows"))
+    found = substring._salted_semi(rows, keys, "core")
+    assert sorted(r["doc_id"] for r in found.collect()) == [k for k in range(3000) if k % 2000 < 1000]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_substrings_random_shared_passages(spark):
     rng = random.Random(5)
     pool = [words(rng.randrange(45, 90), 1000 + k, 50) for k in range(12)]
